@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, tokens
+from keyloom.llm import chat, langid, lattice, mixing, pii, quality, tokens
+from keyloom.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.digest(materialize(chat.format_windows(turns.union(extra)), "windows"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents")).drop("found", "uid")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return tokens.read_token_files(manifest)
@@ -38,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_chat_format": op4_chat_format,
+    "op6_quality": op6_quality,
+    "op9_pii": op9_pii,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
@@ -67,3 +97,20 @@ rk AS (
 cp AS (SELECT *, least(floor(r * rate + u) - floor((r - 1) * rate + u), ceil(rate))::BIGINT AS copies FROM rk)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM cp
 """
+
+ORACLES["op6_quality"] = quality.judge_sql()
+
+ORACLES["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM v UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, m.vec_id) AS component_id,
+       coalesce(m.vec_id = coalesce(c.component_id, m.vec_id), true) AS kept
+FROM embeddings m LEFT JOIN c ON c.id = m.vec_id LEFT JOIN n ON n.a = m.vec_id
+"""
