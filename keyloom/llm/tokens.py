@@ -1,15 +1,18 @@
 """Tokenizing on executors: cached encoding, Arrow token files, best-fit packing, token attribution.
 
 Encoding is by the tokenizers library.  For the two pre-tokenizers supported here no token crosses
-the start of a run of white space, so a text's ids are those of its segments (a white-space run and
-the word after it) joined; segments repeat, and each is encoded once a worker.  The cache is cleared
-at ``CACHE_SEGMENTS`` entries, which bounds a worker's memory and changes no result.
+the start of a run of white space, nor the place between a letter and a full stop or comma, so a
+text's ids are those of its words joined; words repeat, and each is encoded once a worker.  Texts
+with other white space than single spaces and newlines are cut into segments (a white-space run and
+the word after it) instead.  The cache is cleared at ``CACHE_WORDS`` entries, which bounds a worker's
+memory and changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,11 +24,22 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import distributed_rank, fresh_path, materialize, partitions
 
-CACHE_SEGMENTS = 300_000
+CACHE_WORDS = 800_000
 CACHED_CHARS = 48
 
 #: White space as Unicode's White_Space has it (Python's ``\s`` has U+001C to U+001F besides).
 SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
+_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]*)")
+#: Beyond these, lower case by Python and by the tokenizer may differ.
+_NO_LOWER = re.compile(r"[\u0130\u0250-\U0010ffff]")
+
+
+def byte_alphabet() -> list[str]:
+    """The characters by which byte-level models write the bytes 0 to 255: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class Encoder:
@@ -40,7 +54,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.lower = self.tokenizer.normalizer is not None
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_alphabet()))
+        self.space = self.letters[32]
+        self.after_space: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
         self.spans: dict[str, tuple[int, bytes, bytes]] = {}
 
     @classmethod
@@ -49,29 +68,74 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _fill(self, segments: list[str]) -> dict[str, bytes]:
-        """Caches what is new of ``segments``; returns the long ones, which are not kept."""
-        if len(self.cache) > CACHE_SEGMENTS:
-            self.cache.clear()
-        new = list({x for x in segments if x not in self.cache})
-        rare: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.cache if len(x) <= CACHED_CHARS else rare)[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return rare
+    def _whole(self, text: str) -> bytes:
+        return self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, word: str) -> bytes:
+        """Ids of what is one pre-token for certain."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        elif word[0] == " ":
+            word = self.space + word[1:]
+        return self.pack(*[t.id for t in self.model.tokenize(word)])
+
+    @staticmethod
+    def pack(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str, cache: dict[str, bytes], lead: str) -> bytes:
+        """Ids of a word after ``lead``, from the model by way of its letters and its stops."""
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            ids = self._whole(lead + word)
+        elif m[2]:
+            stem = cache.get(m[1]) or self._word(m[1], cache, lead)
+            stops = self.alone.get(m[2])
+            if stops is None:
+                stops = self.alone[m[2]] = self._model(m[2])
+            ids = stem + stops
+        else:
+            ids = self._model(lead + word)
+        if len(word) <= CACHED_CHARS:
+            cache[word] = ids
+        return ids
+
+    def _all(self, words: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
+        get = cache.get
+        found = list(map(get, words))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = get(words[i]) or self._word(words[i], cache, lead)
+        return found
 
     def ids(self, text: str | None) -> bytes:
-        segments = SEGMENT.findall(text or "")
-        rare = self._fill(segments)
-        if rare:
-            return b"".join([rare[x] if x in rare else self.cache[x] for x in segments])
-        return b"".join(map(self.cache.__getitem__, segments))
+        text = text or ""
+        if len(self.after_space) + len(self.alone) > CACHE_WORDS:
+            self.after_space.clear()
+            self.alone.clear()
+        if not text:
+            return b""
+        if self.lower:
+            if _ODD_SPACE.search(text) or not text.isascii() and _NO_LOWER.search(text):
+                return b"".join([self._whole(x) for x in SEGMENT.findall(text)])
+            return b"".join(self._all(text.lower().split(), self.after_space, ""))
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+            return b"".join(self._all(SEGMENT.findall(text), self.alone, ""))
+        newline = self._all(["\n"], self.alone, "")[0]
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if out:
+                out.append(newline)
+            out += self._all(words[:1], self.alone, "")
+            out += self._all(words[1:], self.after_space, " ")
+        return b"".join(out)
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-last code point of each token of ``text``."""
         segments = SEGMENT.findall(text)
-        if len(self.spans) > CACHE_SEGMENTS:
+        if len(self.spans) > CACHE_WORDS:
             self.spans.clear()
         new = list({x for x in segments if x not in self.spans})
         rare: dict[str, tuple[int, bytes, bytes]] = {}
