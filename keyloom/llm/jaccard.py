@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, grouped, materialize, partitions
+from keyloom.llm.common import components, grouped, materialize, partitions, scratch
 
 NUM, DEN = 75, 100
 K = 5
@@ -240,7 +240,13 @@ def _round(sets: DataFrame, whole: bool) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all documents, (id, component) of those in components of several)."""
+    """((doc_id, n) of all documents, (id, component) of those in components of several); two narrow tables."""
+    with scratch(docs.sparkSession):
+        sketch, reached = _classes_of(docs)
+        return materialize(sketch.select("doc_id", "n"), "sizes", keep=True), materialize(reached, "reached", keep=True)
+
+
+def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sketch")
     own = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     copies = own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, distributed_rank, materialize, null_safe_join
+from keyloom.llm.common import WORD, distributed_rank, materialize, null_safe_join, scratch
 
 
 def word_count(text: Column) -> Column:
@@ -52,6 +52,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     Null text: size 0, taken 0.  Null source: a source of its own, last.  Sources of size 0 get
     target 0 and no copies.  Repeated doc_ids are documents of their own.  Empty input: empty result.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_mix(docs, size, weights, cap, seed), "mixed", keep=True)
+
+
+def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: float, seed: int) -> DataFrame:
     size = word_count(docs["text"]) if size is None else size
     base = docs.select("doc_id", "source", size.cast("long").alias("size"))
     base = materialize(base.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), "mix")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import materialize, scratch
 
 #: Kinds in the order in which spans of one start are listed; the method adds the last two.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
@@ -93,6 +93,21 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scanned rows, their mentions, and the patterns that the last round trusts."""
+    schema = "doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:long,k:int,end:long>>, mentions array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean>>"
+    rows = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scan, schema), "pii")
+    graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
+    confident = graph.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0))
+    for _ in range(rounds):
+        known = graph.join(confident, "instance", "left").withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))))
+        scored = known.groupBy("pattern", "instance").agg(F.sum("conf").alias("s"), F.count(F.lit(1)).alias("n"), F.max("conf").alias("c"))
+        patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.sum("n") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
+        good = materialize(patterns.filter((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("pattern", "score"), "patterns")
+        confident = graph.join(good, "pattern").groupBy("instance").agg(F.max("score").alias("conf"))
+    return rows, graph, good
+
+
 def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and ``found`` (array of start, k, end).
 
@@ -106,16 +121,7 @@ def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_su
     Only mentions (a few a document) are shuffled, with partial aggregation by pattern and instance.
     Null or empty text: no spans.  Repeated rows and doc_ids: each its own row.  Empty input: empty result.
     """
-    schema = "doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:long,k:int,end:long>>, mentions array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean>>"
-    rows = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scan, schema), "pii")
-    graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
-    confident = graph.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0))
-    for _ in range(rounds):
-        known = graph.join(confident, "instance", "left").withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))))
-        scored = known.groupBy("pattern", "instance").agg(F.sum("conf").alias("s"), F.count(F.lit(1)).alias("n"), F.max("conf").alias("c"))
-        patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.sum("n") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
-        good = materialize(patterns.filter((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("pattern", "score"), "patterns")
-        confident = graph.join(good, "pattern").groupBy("instance").agg(F.max("score").alias("conf"))
+    rows, graph, good = _graph(docs, rounds, least_score, least_support)
     new = graph.filter("NOT seed").join(good, "pattern", "left_semi")
     new = new.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("context")).alias("k"), "end")).alias("more"))
     full = rows.drop("mentions").join(new, "uid", "left")
@@ -155,3 +161,59 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
         out += [text[at:a], f"<{kind.upper()}>"]
         at = b
     return "".join([*out, text[at:]])
+
+
+#: Trusted patterns up to which they go to all executors (some 10 MB); beyond, spans are joined to rows.
+SENT_PATTERNS = 100_000
+
+
+def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5, sent: int = SENT_PATTERNS) -> DataFrame:
+    """``docs``, all columns, with the found spans of each text replaced; n_chars follows, if there is one.
+
+    The trusted patterns are counted; up to ``sent`` of them are broadcast and a second scan redacts
+    each text where it is, else texts and spans meet by row number.  The rows are the same.  Texts
+    without spans, null and empty texts stay as they are; repeated doc_ids are no matter.
+    """
+    columns = list(docs.columns)
+
+    def rewrite(batch: pa.RecordBatch, spans: Iterator[list[tuple[int, int, str]]]) -> pa.RecordBatch:
+        out = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
+        found = list(spans)
+        texts = [redact(t, f) if f else t for t, f in zip(out["text"].to_pylist(), found, strict=True)]
+        if "n_chars" in out:
+            out["n_chars"] = pa.array([len(t) if f else n for t, f, n in zip(texts, found, out["n_chars"].to_pylist(), strict=True)], out["n_chars"].type)
+        out["text"] = pa.array(texts, out["text"].type)
+        return pa.RecordBatch.from_arrays(list(out.values()), names=columns)
+
+    with scratch(docs.sparkSession):
+        narrow = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
+        good = _graph(narrow, rounds, least_score, least_support)[2]
+        trusted = {r[0] for r in good.select("pattern").limit(sent + 1).collect()}
+    if len(trusted) <= sent:
+        patterns = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
+
+        def spans(text: str | None) -> list[tuple[int, int, str]]:
+            text = text or ""
+            base = base_spans(text)
+            more = [("secret", *m.span()) for m in _SECRET.finditer(text)] if len(text) >= 32 else []
+            if patterns.value:
+                more += [("context", a, b) for a, b, _, pattern, seed in mentions(text, base) if not seed and pattern in patterns.value]
+            return [(a, b, kind) for kind, a, b in base + more]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield rewrite(batch, (spans(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))))
+
+        return docs.mapInArrow(scan, docs.schema)
+
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    hits = extract(numbered.select(F.col("__row").alias("doc_id"), "text"), rounds, least_score, least_support)
+    hits = hits.filter(F.size("found") > 0).select(F.col("doc_id").alias("__hit"), F.col("found").alias("__found"))
+    joined = numbered.join(hits, F.col("__row") == F.col("__hit"), "left")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index("__found")).to_pylist()
+            yield rewrite(batch, ([(x["start"], x["end"], KINDS[x["k"]]) for x in f or []] for f in found))
+
+    return joined.select(*columns, "__found").mapInArrow(merge, docs.schema)
