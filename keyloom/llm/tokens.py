@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import distributed_rank, fresh_path, materialize, partitions
+from keyloom.llm.common import distributed_rank, fresh_path, materialize, partitions, scratch
 
 CACHE_WORDS = 800_000
 CACHED_CHARS = 48
@@ -428,7 +428,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     Empty input: empty result.  Rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
-    ranked = materialize(distributed_rank(materialize(pieces(docs, tokenizer, capacity, end_id), "pieces"), ["length"], ["doc_id", "piece"], "_rank"), "ranked")
+    with scratch(spark):
+        cut = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
+        ranked = materialize(distributed_rank(cut, ["length"], ["doc_id", "piece"], "_rank"), "ranked", keep=True)
     counts = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(pack_plan(counts, capacity))
 
