@@ -1,4 +1,206 @@
-"""Registered queries of the keyed collections and sketches."""
+"""Registered queries of the keyed collections and sketches, with DuckDB SQL for each.
 
-QUERIES = {}
-ORACLES = {}
+Batches come from the driver tables: events (ord event_id, key user_id), orders (ord o_orderkey, key
+o_custkey) and customer as queries, with some keys moved out of range so that misses occur.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.functions import hashing
+from keyloom.operators import bloom, roaring
+from keyloom.operators.bag import Multimap, Multiset
+from keyloom.operators.batch import exclusive_scan
+from keyloom.operators.hll import HyperLogLog
+from keyloom.operators.keyed import DynamicMap, StaticMap, StaticSet
+from keyloom.sources.tables import batch, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EMPTY = -1
+#: A capacity that binds: fewer slots than there are keys.
+SMALL = 97
+
+_PARTS = """
+e AS (SELECT event_id AS ord, user_id AS key, event_id AS value, event_type AS stencil FROM events),
+o AS (SELECT o_orderkey AS ord, o_custkey AS key, o_orderkey AS value, o_orderstatus AS stencil FROM orders),
+q AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS key, c_mktsegment AS stencil FROM customer),
+ks AS (SELECT key, min(ord) AS ord, arg_min(value, ord) AS value FROM e GROUP BY key),
+kp AS (SELECT key, min(ord) AS ord, arg_min(value, ord) AS value FROM e WHERE stencil = 'purchase' GROUP BY key),
+m AS (SELECT key, arg_min(value, ord) AS value FROM o GROUP BY key)
+"""
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return batch(table(spark, d, "events"), "event_id", "user_id", "event_id", "event_type")
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return batch(table(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    q = batch(table(spark, d, "customer"), "c_custkey", "c_custkey", stencil="c_mktsegment")
+    return q.withColumn("key", F.when(F.col("key") % 5 == 0, F.col("key") + 1000000).otherwise(F.col("key")))
+
+
+def _set(spark: SparkSession, capacity: int | None = None) -> StaticSet:
+    return StaticSet.create(spark, "bigint", EMPTY, capacity, probing="linear")
+
+
+def _map(spark: SparkSession, capacity: int | None = None) -> StaticMap:
+    return StaticMap.create(spark, "bigint", "bigint", EMPTY, EMPTY, capacity)
+
+
+def _dmap(spark: SparkSession) -> DynamicMap:
+    return DynamicMap.create(spark, "bigint", "bigint", EMPTY, EMPTY)
+
+
+def _is(value: str):
+    return lambda s: s == value
+
+
+def _orders_map(spark: SparkSession, d: str) -> StaticMap:
+    return _map(spark).insert_async(_orders(spark, d))
+
+
+def _add(name: str, sql: str | None):
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = f"WITH {_PARTS}\n{sql}"
+        return f
+
+    return put
+
+
+# ---- sets
+_add("set_insert_outcome", "SELECT (SELECT count(*) FROM ks) AS inserted, (SELECT count(*) FROM e) - (SELECT count(*) FROM ks) AS failed")(lambda s, d: _set(s).insert(_events(s, d)).counts)
+_add("set_insert_keys", "SELECT key FROM ks")(lambda s, d: _set(s).insert_async(_events(s, d)).to_df())
+_add("set_insert_capacity", f"SELECT key FROM ks ORDER BY ord LIMIT {SMALL}")(lambda s, d: _set(s, SMALL).insert_async(_events(s, d)).to_df())
+_add("set_insert_capacity_outcome", f"SELECT least({SMALL}, (SELECT count(*) FROM ks)) AS inserted, (SELECT count(*) FROM e) - least({SMALL}, (SELECT count(*) FROM ks)) AS failed")(lambda s, d: _set(s, SMALL).insert(_events(s, d)).counts)
+_add("set_insert_if", "SELECT key FROM kp")(lambda s, d: _set(s).insert_async(_events(s, d), _is("purchase")).to_df())
+_add("set_insert_and_find", "SELECT e.ord, e.key, e.key AS found, e.ord = ks.ord AS inserted FROM e JOIN ks USING (key)")(lambda s, d: _set(s).insert_and_find(_events(s, d)).rows.select("ord", "key", "found", "inserted"))
+_add("set_find", f"SELECT q.ord, q.key, coalesce(m.key, {EMPTY}) AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _set(s).insert_async(_orders(s, d)).find(_queries(s, d)).drop("stencil"))
+_add("set_find_if", f"SELECT q.ord, q.key, CASE WHEN q.stencil = 'BUILDING' THEN coalesce(m.key, {EMPTY}) ELSE {EMPTY} END AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _set(s).insert_async(_orders(s, d)).find(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("set_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _set(s).insert_async(_orders(s, d)).contains(_queries(s, d)).drop("stencil"))
+_add("set_contains_if", "SELECT q.ord, q.key, m.key IS NOT NULL AND q.stencil = 'BUILDING' AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _set(s).insert_async(_orders(s, d)).contains(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("set_count", "SELECT count(*) AS hits FROM o WHERE key IN (SELECT key FROM q)")(lambda s, d: _set(s).insert_async(_queries(s, d)).count(_orders(s, d)))
+_add("set_erase", "SELECT key FROM m WHERE key NOT IN (SELECT key FROM q)")(lambda s, d: _set(s).insert_async(_orders(s, d)).erase_async(_queries(s, d)).to_df())
+_add("set_erase_outcome", "SELECT (SELECT count(*) FROM m WHERE key IN (SELECT key FROM q)) AS deleted, (SELECT count(*) FROM q) - (SELECT count(*) FROM m WHERE key IN (SELECT key FROM q)) AS failed")(lambda s, d: _set(s).insert_async(_orders(s, d)).erase(_queries(s, d)).counts)
+_add("set_for_each_even", "SELECT count(*) FILTER (key % 2 = 0) AS evens, coalesce(sum(key) FILTER (key % 2 = 0), 0)::BIGINT AS total FROM o WHERE key IN (SELECT key FROM q)")(
+    lambda s, d: _set(s).insert_async(_queries(s, d)).for_each(_orders(s, d), F.count_if(F.col("key") % 2 == 0).alias("evens"), F.coalesce(F.sum(F.when(F.col("key") % 2 == 0, F.col("key"))), F.lit(0)).alias("total"))
+)
+_add("set_union", "SELECT key FROM m UNION SELECT key FROM q")(lambda s, d: _set(s).insert_async(_orders(s, d)).insert_async(_queries(s, d)).to_df())
+_add("set_intersect", "SELECT key FROM m INTERSECT SELECT key FROM q")(lambda s, d: _set(s).insert_async(_queries(s, d)).contains(_set(s).insert_async(_orders(s, d)).to_df()).filter("found").select("key"))
+
+# ---- maps
+_add("map_insert_first_wins", "SELECT key, value FROM ks")(lambda s, d: _map(s).insert_async(_events(s, d)).to_df())
+_add("map_insert_outcome", "SELECT (SELECT count(*) FROM ks) AS inserted, (SELECT count(*) FROM e) - (SELECT count(*) FROM ks) AS failed")(lambda s, d: _map(s).insert(_events(s, d)).counts)
+_add("map_insert_capacity", f"SELECT key, value FROM ks ORDER BY ord LIMIT {SMALL}")(lambda s, d: _map(s, SMALL).insert_async(_events(s, d)).to_df())
+_add("map_insert_if", "SELECT key, value FROM kp")(lambda s, d: _map(s).insert_async(_events(s, d), _is("purchase")).to_df())
+_add("map_upsert_last_wins", "SELECT key, arg_max(value, ord) AS value FROM e GROUP BY key")(lambda s, d: _map(s).insert_or_assign_async(_events(s, d)).to_df())
+_add("map_upsert_over_state", "SELECT coalesce(x.key, m.key) AS key, coalesce(x.value, m.value) AS value FROM m FULL JOIN (SELECT key, arg_max(value, ord) AS value FROM e GROUP BY key) x ON x.key = m.key")(
+    lambda s, d: _orders_map(s, d).insert_or_assign_async(_events(s, d)).to_df()
+)
+_add(
+    "map_upsert_counts",
+    "SELECT (SELECT count(*) FROM ks WHERE key NOT IN (SELECT key FROM m)) AS inserted, (SELECT count(*) FROM e) - (SELECT count(*) FROM ks WHERE key NOT IN (SELECT key FROM m)) AS assigned, 0::BIGINT AS failed",
+)(lambda s, d: _orders_map(s, d).insert_or_assign(_events(s, d)).counts)
+_add("map_assign_if", "SELECT m.key, coalesce(x.value, m.value) AS value FROM m LEFT JOIN (SELECT key, arg_max(value, ord) AS value FROM e WHERE stencil = 'purchase' GROUP BY key) x ON x.key = m.key")(
+    lambda s, d: _orders_map(s, d).assign(_events(s, d), _is("purchase")).to_df()
+)
+_add("map_insert_and_find", "SELECT e.ord, e.key, ks.value AS found_value, e.ord = ks.ord AS inserted FROM e JOIN ks USING (key)")(lambda s, d: _map(s).insert_and_find(_events(s, d)).rows.select("ord", "key", "found_value", "inserted"))
+_add("map_find", f"SELECT q.ord, q.key, coalesce(m.value, {EMPTY}) AS found_value FROM q LEFT JOIN m USING (key)")(lambda s, d: _orders_map(s, d).find(_queries(s, d)).drop("stencil"))
+_add("map_find_if", f"SELECT q.ord, q.key, CASE WHEN q.stencil = 'BUILDING' THEN coalesce(m.value, {EMPTY}) ELSE {EMPTY} END AS found_value FROM q LEFT JOIN m USING (key)")(lambda s, d: _orders_map(s, d).find(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("map_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _orders_map(s, d).contains(_queries(s, d)).drop("stencil"))
+_add("map_contains_if", "SELECT q.ord, q.key, m.key IS NOT NULL AND q.stencil = 'BUILDING' AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _orders_map(s, d).contains(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("map_count", "SELECT count(*) AS hits FROM e WHERE key IN (SELECT key FROM m)")(lambda s, d: _orders_map(s, d).count(_events(s, d)))
+_add("map_erase", "SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM q)")(lambda s, d: _orders_map(s, d).erase_async(_queries(s, d)).to_df())
+_add("map_erase_outcome", "SELECT (SELECT count(*) FROM m WHERE key IN (SELECT key FROM e)) AS deleted, (SELECT count(*) FROM e) - (SELECT count(*) FROM m WHERE key IN (SELECT key FROM e)) AS failed")(lambda s, d: _orders_map(s, d).erase(_events(s, d)).counts)
+_add("map_for_each", "SELECT count(*) AS n, sum(m.value)::BIGINT AS total, max(m.value) AS most FROM e JOIN m USING (key)")(
+    lambda s, d: _orders_map(s, d).for_each(_events(s, d), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
+)
+_add("map_clear", "SELECT key, value FROM m WHERE false")(lambda s, d: _orders_map(s, d).clear().to_df())
+
+# ---- growing maps
+_add("dmap_insert", "SELECT count(*) AS inserted FROM ks")(lambda s, d: _dmap(s).insert(_events(s, d)).counts.select("inserted"))
+_add("dmap_reinsert_keeps_old", "SELECT key, value FROM ks")(lambda s, d: (lambda m: m.insert_async(_events(s, d).withColumn("value", F.lit(0).cast("long"))).to_df())(_dmap(s).insert_async(_events(s, d))))
+_add("dmap_upsert_new_count", "SELECT count(*) AS inserted FROM ks WHERE key NOT IN (SELECT key FROM m)")(lambda s, d: _dmap(s).insert_async(_orders(s, d)).insert_or_assign(_events(s, d)).counts.select("inserted"))
+_add("dmap_find", f"SELECT q.ord, q.key, coalesce(m.value, {EMPTY}) AS found_value FROM q LEFT JOIN m USING (key)")(lambda s, d: _dmap(s).insert_async(_orders(s, d)).find(_queries(s, d)).drop("stencil"))
+_add("dmap_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _dmap(s).insert_async(_orders(s, d)).contains(_queries(s, d)).drop("stencil"))
+_add("dmap_erase_deleted", "SELECT count(*) AS deleted FROM m WHERE key IN (SELECT key FROM q)")(lambda s, d: _dmap(s).insert_async(_orders(s, d)).erase(_queries(s, d)).counts.select("deleted"))
+_add("dmap_append_unique", "SELECT ord AS key, key AS value FROM o")(lambda s, d: _dmap(s).append_unique(_orders(s, d).select(F.col("ord").alias("key"), F.col("key").alias("value"))).to_df())
+
+# ---- multisets
+_bag = lambda s, d, cap=None: Multiset.create(s, "bigint", EMPTY, cap).insert(_orders(s, d)).container
+_add("mset_insert_prefix", "SELECT key, count(*) AS n FROM (SELECT key FROM o ORDER BY ord LIMIT 5000) GROUP BY key")(lambda s, d: _bag(s, d, 5000).state.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+_add("mset_insert_outcome", "SELECT least(5000, count(*)) AS inserted, count(*) - least(5000, count(*)) AS failed FROM o")(lambda s, d: Multiset.create(s, "bigint", EMPTY, 5000).insert(_orders(s, d)).counts)
+_add("mset_insert_if", "SELECT key, count(*) AS n FROM o WHERE stencil = 'F' GROUP BY key")(lambda s, d: Multiset.create(s, "bigint", EMPTY).insert(_orders(s, d), _is("F")).container.state.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+_add("mset_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _bag(s, d).contains(_queries(s, d)).drop("stencil"))
+_add("mset_contains_if", "SELECT q.ord, q.key, m.key IS NOT NULL AND q.stencil = 'BUILDING' AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _bag(s, d).contains(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("mset_find", f"SELECT q.ord, q.key, coalesce(m.key, {EMPTY}) AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _bag(s, d).find(_queries(s, d)).drop("stencil"))
+_add("mset_find_if", f"SELECT q.ord, q.key, CASE WHEN q.stencil = 'BUILDING' THEN coalesce(m.key, {EMPTY}) ELSE {EMPTY} END AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _bag(s, d).find(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_COUNTS = "q LEFT JOIN (SELECT key, count(*) AS n FROM o GROUP BY key) c USING (key)"
+_add("mset_count_each", f"SELECT q.ord, q.key, coalesce(n, 0) AS multiplicity FROM {_COUNTS}")(lambda s, d: _bag(s, d).count_each(_queries(s, d)).drop("stencil"))
+_add("mset_count_each_outer", f"SELECT q.ord, q.key, greatest(coalesce(n, 0), 1) AS multiplicity FROM {_COUNTS}")(lambda s, d: _bag(s, d).count_each(_queries(s, d), outer=True).drop("stencil"))
+_add("mset_count_total", f"SELECT coalesce(sum(n), 0)::BIGINT AS total FROM {_COUNTS}")(lambda s, d: _bag(s, d).count(_queries(s, d)))
+_add("mset_retrieve", "SELECT row_number() OVER (ORDER BY q.ord) - 1 AS pos, q.key AS probe, q.key AS match FROM q JOIN o ON o.key = q.key")(lambda s, d: _bag(s, d).retrieve(_queries(s, d)))
+_add("mset_retrieve_all", "SELECT row_number() OVER (ORDER BY ord) - 1 AS pos, key FROM o")(lambda s, d: _bag(s, d).retrieve_all())
+
+# ---- multimaps
+_mm = lambda s, d, cap=None, p=None: Multimap.create(s, "bigint", "bigint", EMPTY, EMPTY, cap).insert(_orders(s, d), p, check=False).container
+_add("mmap_insert_prefix", "SELECT key, value FROM o ORDER BY ord LIMIT 5000")(lambda s, d: _mm(s, d, 5000).retrieve_all())
+_add("mmap_insert_outcome", "SELECT least(5000, count(*)) AS inserted, count(*) - least(5000, count(*)) AS failed FROM o")(lambda s, d: Multimap.create(s, "bigint", "bigint", EMPTY, EMPTY, 5000).insert(_orders(s, d)).counts)
+_add("mmap_insert_if", "SELECT key, value FROM o WHERE stencil = 'F'")(lambda s, d: _mm(s, d, p=_is("F")).retrieve_all())
+_add("mmap_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _mm(s, d).contains(_queries(s, d)).drop("stencil"))
+_add("mmap_contains_if", "SELECT q.ord, q.key, m.key IS NOT NULL AND q.stencil = 'BUILDING' AS found FROM q LEFT JOIN m USING (key)")(lambda s, d: _mm(s, d).contains(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_MIN = "q LEFT JOIN (SELECT key, min(value) AS v FROM o GROUP BY key) c USING (key)"
+_add("mmap_find_min", f"SELECT q.ord, q.key, coalesce(v, {EMPTY}) AS found_value FROM {_MIN}")(lambda s, d: _mm(s, d).find(_queries(s, d)).drop("stencil"))
+_add("mmap_find_if", f"SELECT q.ord, q.key, CASE WHEN stencil = 'BUILDING' THEN coalesce(v, {EMPTY}) ELSE {EMPTY} END AS found_value FROM {_MIN}")(lambda s, d: _mm(s, d).find(_queries(s, d), _is("BUILDING")).drop("stencil"))
+_add("mmap_count", "SELECT count(*) AS total FROM q JOIN o ON o.key = q.key")(lambda s, d: _mm(s, d).count(_queries(s, d)))
+_add("mmap_retrieve", "SELECT row_number() OVER (ORDER BY q.ord, o.value) - 1 AS pos, q.key AS probe, o.value FROM q JOIN o ON o.key = q.key")(lambda s, d: _mm(s, d).retrieve(_queries(s, d)))
+_add("mmap_retrieve_all", "SELECT key, value FROM o")(lambda s, d: _mm(s, d).retrieve_all())
+
+# ---- sketches
+_add("hll_registers_merge", "SELECT true AS equal, (SELECT 16384::BIGINT) AS registers")(
+    lambda s, d: (lambda u, v: u.join(v.select("idx", F.col("rank").alias("r")), "idx", "full_outer").agg(F.coalesce(F.min(F.coalesce(F.col("rank") == F.col("r"), F.lit(False))), F.lit(True)).alias("equal"), F.lit(16384).cast("long").alias("registers")))(
+        HyperLogLog.create(s, p=14).add(_orders(s, d)).merge(HyperLogLog.create(s, p=14).add(_events(s, d))).registers,
+        HyperLogLog.create(s, p=14).add(_orders(s, d).select("key").union(_events(s, d).select("key"))).registers,
+    )
+)
+_add("hll_within_bound", "SELECT count(DISTINCT key) AS exact, true AS within FROM o")(
+    lambda s, d: HyperLogLog.create(s, p=14)
+    .add(_orders(s, d))
+    .estimate_df()
+    .join(_orders(s, d).agg(F.countDistinct("key").alias("exact")), F.lit(True))
+    .select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * (3 * 1.04 / 128)).alias("within"))
+)
+_bf = lambda s, d, p=None: bloom.BloomFilter.create(s, 257).add(_orders(s, d), p)
+_add("bloom_no_false_negative", "SELECT count(*) AS asked, count(*) AS found FROM o")(lambda s, d: _bf(s, d).contains(_orders(s, d)).agg(F.count(F.lit(1)).alias("asked"), F.count_if("found").alias("found")))
+_add("bloom_add_if", "SELECT count(*) AS asked, count(*) AS found FROM o WHERE stencil = 'F'")(lambda s, d: _bf(s, d, _is("F")).contains(_orders(s, d).filter("stencil = 'F'")).agg(F.count(F.lit(1)).alias("asked"), F.count_if("found").alias("found")))
+_add("bloom_prefilter_semijoin", "SELECT q.ord, q.key FROM q WHERE key IN (SELECT key FROM o)")(lambda s, d: _bf(s, d).contains(_queries(s, d)).filter("found").select("ord", "key").join(_orders(s, d).select("key"), "key", "left_semi").select("ord", "key"))
+_add("bloom_merge", "SELECT count(*) AS asked, count(*) AS found FROM (SELECT key FROM o UNION ALL SELECT key FROM e)")(
+    lambda s, d: _bf(s, d).merge(bloom.BloomFilter.create(s, 257).add(_events(s, d))).contains(_orders(s, d).select("key").union(_events(s, d).select("key"))).agg(F.count(F.lit(1)).alias("asked"), F.count_if("found").alias("found"))
+)
+_add("bloom_intersect", "SELECT count(*) AS asked, count(*) AS found FROM e WHERE key IN (SELECT key FROM o)")(
+    lambda s, d: (lambda f: f.contains(_events(s, d).join(_orders(s, d).select("key"), "key", "left_semi")).agg(F.count(F.lit(1)).alias("asked"), F.count_if("found").alias("found")))(_bf(s, d).intersect(bloom.BloomFilter.create(s, 257).add(_events(s, d))))
+)
+_ROARING = roaring.serialize32([*range(0, 100_000, 1000), *range(300_000, 600_000, 3), *range(700_000, 800_000)], runs=True)
+_add("roaring_contains", "SELECT ord, k AS key, (k < 100000 AND k % 1000 = 0) OR (k >= 300000 AND k < 600000 AND k % 3 = 0) OR (k >= 700000 AND k < 800000) AS found FROM (SELECT ord, key * 613 % 900000 AS k FROM o)")(
+    lambda s, d: roaring.RoaringBitmap(s, _ROARING).contains(_orders(s, d).select("ord", (F.col("key") * 613 % 900000).alias("key")))
+)
+
+# ---- support
+_add("exclusive_scan", "SELECT ord, coalesce(sum(key) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o")(lambda s, d: exclusive_scan(_orders(s, d).select("ord", "key"), F.col("key"), "before").select("ord", "before"))
+_add(
+    "hash_fmix32",
+    "SELECT key, xor(h3, h3 >> 16)::BIGINT AS h FROM (SELECT key, ((xor(h2, h2 >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT AS h3 FROM (SELECT key, ((xor(key, key >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT AS h2 FROM m))",
+)(
+    lambda s, d: _orders_map(s, d).to_df().select("key", hashing.fmix32(F.col("key")).alias("h"))
+)
