@@ -1,0 +1,59 @@
+import hashlib
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from keyloom.llm import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def expected(rows):
+    out = {}
+    for c in {r[0] for r in rows}:
+        turns = sorted((r[1:] for r in rows if r[0] == c), key=lambda t: (t[0] is not None, t[0] or 0, t[1] or "", t[2] or ""))
+        said = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)
+        loss = "".join(t or "" for _, r, t in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("\\<>|s/[]INSTYturnend \n😀")) | st.text())
+def test_escaping_is_reversible_and_leaves_no_control_string(text):
+    e = chat.escape(text)
+    assert chat.unescape(e) == text
+    assert not any(c in e for c in chat.CONTROL)
+    r = chat.escape_role(text)
+    assert chat.unescape_role(r) == text and "\n" not in r
+
+
+def test_round_trip_budget_history_and_masks(spark):
+    r = random.Random(2)
+    rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], " ".join(["word", "</s>", "<|end|>", "\\n", "x"][r.randrange(5)] for _ in range(r.randrange(60)))) for c in range(12) for t in range(r.randrange(1, 40))]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=120, history=40).cache()
+    got = {x["conv_id"]: tuple(x)[1:5] for x in chat.digest(windows).collect()}
+    assert got == expected(rows)
+    held = {}
+    for w in sorted(windows.collect(), key=lambda w: (w["conv_id"], w["window"])):
+        turns = chat.parse(w["text"])
+        new = turns[w["n_repeated"] :]
+        system = any(x[0] == w["conv_id"] and x[1] == 0 and x[2] == "system" for x in rows)
+        if system:
+            assert turns[0][0] == "system"
+        cost = sum(chat.count_tokens(t) + chat.count_tokens(s) + 2 for s, t in turns)
+        assert cost == w["tokens"] and (cost <= 120 or len(new) == 1 + (w["window"] == 0 and system))
+        history = turns[system : w["n_repeated"]] if w["window"] else []
+        before = held.get(w["conv_id"], [])
+        assert history == before[len(before) - len(history) :]
+        held[w["conv_id"]] = before + [t for t in new if t[0] != "system"]
+        assert [chat.unescape(w["text"][s["start"] : s["end"]]) for s in w["loss"]] == [t for role, t in new if role == "assistant" and t]
+
+
+def test_nulls_ties_and_empty(spark):
+    said = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, None, "a"), (1, 0, "assistant", None), (1, None, "assistant", "b"), (None, 3, "user", "c"), (2, 1, "assistant", "dup"), (2, 1, "assistant", "dup"), (3, 0, "as\nsist\\n", "x" * 20_000), (4, 0, "system", "only")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS window", "2 AS loss", "'z' AS formatted_chars")
+    assert {x["conv_id"]: tuple(x)[1:5] for x in chat.digest(chat.format_windows(df)).collect()} == expected(rows)
+    assert chat.digest(chat.format_windows(df.limit(0))).count() == 0
