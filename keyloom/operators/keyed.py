@@ -8,6 +8,7 @@ upsert.  Everything is lazy; only the scalar properties of an ``Outcome`` run a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -42,6 +43,8 @@ class StaticSet:
     erased_key: Any = None
     bucket_size: int = 1
     probing: str = "double"
+    #: Custom equality: keys are equal where this expression of them is.  It must be an equivalence.
+    canonical: Callable[[Column], Column] | None = None
 
     values = ()
 
@@ -50,6 +53,20 @@ class StaticSet:
         return cls(spark.createDataFrame([], f"key {key_type}"), empty_key, capacity, **more)
 
     # -- metadata
+    def with_erased_key(self, key: Any) -> Any:
+        """Reserve a second key, which inserts then refuse like the empty one; deletion itself needs no mark."""
+        if key == self.empty_key:
+            raise ValueError("the empty and the erased key must differ")
+        return replace(self, erased_key=key)
+
+    def key_equal(self, a: Column, b: Column) -> Column:
+        """Whether two keys are one key here."""
+        return self.canonical(a) == self.canonical(b) if self.canonical else a == b
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        """``df`` with its keys in canonical form; the containers hold that form."""
+        return df.withColumn("key", F.when(self._valid(), self.canonical(F.col("key"))).otherwise(F.col("key"))) if self.canonical else df
+
     @property
     def capacity(self) -> int | None:
         return None if self.capacity_asked is None else slots.rounded(self.capacity_asked, self.bucket_size, self.probing)
@@ -69,7 +86,7 @@ class StaticSet:
         return ~(key.isNull() | is_sentinel(key, self.empty_key) | is_sentinel(key, self.erased_key))
 
     def _taken(self, batch: DataFrame, predicate: Predicate | None) -> DataFrame:
-        return batch.filter(selected(batch, predicate)) if predicate else batch
+        return self._own(batch.filter(selected(batch, predicate)) if predicate else batch)
 
     def _firsts(self, rows: DataFrame) -> DataFrame:
         """One row a key: the first by ord."""
@@ -94,6 +111,7 @@ class StaticSet:
 
     def insert_and_find(self, batch: DataFrame) -> Outcome:
         """Each row with the stored key (value, for maps) and whether this row inserted it; sentinel and overflow: empty, false."""
+        batch = self._own(batch)
         new = self._admitted(batch)
         shown = self.values or ("key",)
         stored = self.state.select("key", F.lit(None).cast("long").alias("__ord"), *[F.col(v).alias(f"__{v}") for v in shown])
@@ -106,13 +124,14 @@ class StaticSet:
 
     def erase(self, batch: DataFrame) -> Outcome:
         """Delete keys.  ``failed`` counts rows beyond the distinct keys deleted; a repeated key succeeds once."""
+        batch = self._own(batch)
         keys = batch.select("key").distinct()
         gone = self.state.join(keys, "key", "left_semi")
         counts = batch.agg(F.count(F.lit(1)).alias("n")).join(gone.agg(F.count(F.lit(1)).alias("deleted")), F.lit(True)).select("deleted", (F.col("n") - F.col("deleted")).alias("failed"))
         return Outcome(self.erase_async(batch), counts)
 
     def erase_async(self, batch: DataFrame) -> Any:
-        return replace(self, state=self.state.join(batch.select("key"), "key", "left_anti"))
+        return replace(self, state=self.state.join(self._own(batch).select("key"), "key", "left_anti"))
 
     # -- queries
     def _empties(self) -> tuple:
@@ -120,6 +139,7 @@ class StaticSet:
 
     def find(self, queries: DataFrame, predicate: Predicate | None = None) -> DataFrame:
         """Queries with the stored key (value, for maps), or the empty one for a miss or a row not selected."""
+        queries = self._own(queries)
         shown = self.values or ("key",)
         stored = self.state.select("key", *[F.col(v).alias(f"__{v}") for v in shown])
         found = queries.join(stored, "key", "left")
@@ -127,16 +147,17 @@ class StaticSet:
         return found.select(*queries.columns, *[F.coalesce(F.when(ok, F.col(f"__{v}")), F.lit(e)).alias("found" if v == "key" else f"found_{v}") for v, e in zip(shown, self._empties(), strict=True)])
 
     def contains(self, queries: DataFrame, predicate: Predicate | None = None) -> DataFrame:
+        queries = self._own(queries)
         found = queries.join(self.state.select("key", F.lit(True).alias("__hit")), "key", "left")
         return found.select(*queries.columns, F.coalesce(F.col("__hit") & selected(queries, predicate), F.lit(False)).alias("found"))
 
     def count(self, queries: DataFrame) -> DataFrame:
         """One row: the query rows that hit, repeats counted."""
-        return queries.join(self.state.select("key"), "key", "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+        return self._own(queries).join(self.state.select("key"), "key", "left_semi").agg(F.count(F.lit(1)).alias("hits"))
 
     def for_each(self, queries: DataFrame, *aggregates: Column) -> DataFrame:
         """Aggregates over the matching (query, slot) rows; without any, those rows."""
-        rows = queries.select("ord", "key").join(self.state, "key")
+        rows = self._own(queries).select("ord", "key").join(self.state, "key")
         return rows.agg(*aggregates) if aggregates else rows
 
 
@@ -158,7 +179,7 @@ class StaticMap(StaticSet):
 
     def _upserted(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(merged rows with ``__new``, batch rows that were stored)."""
-        valid = batch.filter(self._valid())
+        valid = self._own(batch).filter(self._valid())
         last = valid.groupBy("key").agg(F.max_by("value", "ord").alias("__value"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("__n"))
         merged = self.state.withColumn("__old", F.lit(True)).join(last, "key", "full_outer")
         merged = merged.select("key", F.when(F.col("__n").isNull(), F.col("value")).otherwise(F.col("__value")).alias("value"), F.col("__old").isNull().alias("__new"), "ord", F.coalesce("__n", F.lit(0)).alias("__n"))

@@ -17,6 +17,7 @@ from keyloom.operators.bag import Multimap, Multiset
 from keyloom.operators.batch import exclusive_scan
 from keyloom.operators.hll import HyperLogLog
 from keyloom.operators.keyed import DynamicMap, StaticMap, StaticSet
+from keyloom.operators.segments import SegmentedMap, count_zero, merge_contains, merge_find
 from keyloom.sources.tables import batch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +138,19 @@ _add("dmap_contains", "SELECT q.ord, q.key, m.key IS NOT NULL AS found FROM q LE
 _add("dmap_erase_deleted", "SELECT count(*) AS deleted FROM m WHERE key IN (SELECT key FROM q)")(lambda s, d: _dmap(s).insert_async(_orders(s, d)).erase(_queries(s, d)).counts.select("deleted"))
 _add("dmap_append_unique", "SELECT ord AS key, key AS value FROM o")(lambda s, d: _dmap(s).append_unique(_orders(s, d).select(F.col("ord").alias("key"), F.col("key").alias("value"))).to_df())
 
+_log = lambda s, d: SegmentedMap((s.createDataFrame([], "key bigint, value bigint, deleted boolean"),), EMPTY).append(_orders(s, d)).append(_events(s, d)).erase(_queries(s, d).filter("key % 2 = 0"))
+_ALIVE = "(SELECT key, value FROM (SELECT coalesce(x.key, y.key) AS key, coalesce(x.value, y.value) AS value FROM (SELECT key, arg_max(value, ord) AS value FROM o GROUP BY key) y FULL JOIN (SELECT key, arg_max(value, ord) AS value FROM e GROUP BY key) x ON x.key = y.key) WHERE key NOT IN (SELECT key FROM q WHERE key % 2 = 0))"
+_add("segments_compact", f"SELECT key, value FROM {_ALIVE} a")(lambda s, d: _log(s, d).compact().to_df())
+_add("segments_find", f"SELECT q.ord, q.key, coalesce(a.value, {EMPTY}) AS found_value FROM q LEFT JOIN {_ALIVE} a ON a.key = q.key")(lambda s, d: _log(s, d).find(_queries(s, d)).drop("stencil"))
+_add("segments_merge", f"SELECT q.ord, coalesce(m.value, x.value, {EMPTY}) AS found_value, m.key IS NOT NULL OR x.key IS NOT NULL AS found FROM q LEFT JOIN m ON m.key = q.key LEFT JOIN ks x ON x.key = q.key")(
+    lambda s, d: _orders_map(s, d)
+    .find(_queries(s, d))
+    .select("ord", F.col("found_value").alias("a"))
+    .join(_map(s).insert_async(_events(s, d)).find(_queries(s, d)).select("ord", F.col("found_value").alias("b")), "ord")
+    .select("ord", merge_find(F.col("a"), F.col("b"), EMPTY).alias("found_value"), merge_contains(F.col("a") != EMPTY, F.col("b") != EMPTY).alias("found"))
+)
+_add("segments_count_zero", "SELECT count(*) FILTER (key % 3 = 0) AS zeros FROM q")(lambda s, d: count_zero(_queries(s, d).select((F.col("key") % 3).alias("mask")), "mask"))
+
 # ---- multisets
 _bag = lambda s, d, cap=None: Multiset.create(s, "bigint", EMPTY, cap).insert(_orders(s, d)).container
 _add("mset_insert_prefix", "SELECT key, count(*) AS n FROM (SELECT key FROM o ORDER BY ord LIMIT 5000) GROUP BY key")(lambda s, d: _bag(s, d, 5000).state.groupBy("key").agg(F.count(F.lit(1)).alias("n")))

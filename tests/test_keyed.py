@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.operators.keyed import DynamicMap, StaticMap, StaticSet
 
@@ -142,3 +143,16 @@ def test_growing_map(spark):
     big = m.reserve(30_000)
     assert big.num_segments > 1 and big.total_capacity > m.total_capacity and m.num_segments == 1
     assert m.append_unique(frame(spark, [(0, 1, 2, 0)])).size() == 1
+
+
+def test_custom_equality_and_erased_key(spark):
+    tens = StaticMap.create(spark, "long", "long", EMPTY, EMPTY, canonical=lambda k: F.floor(k / 10))
+    m = tens.insert_async(frame(spark, [(0, 11, 1, 0), (1, 19, 2, 0), (2, 25, 3, 0), (3, EMPTY, 4, 0)]))
+    assert contents(m) == {1: 1, 2: 3}
+    assert [r["found_value"] for r in m.find(frame(spark, [(0, 14, 0, 0), (1, 20, 0, 0), (2, 30, 0, 0)])).orderBy("ord").collect()] == [1, 3, EMPTY]
+    assert spark.range(1).select(m.key_equal(F.lit(11), F.lit(18))).first()[0]
+    assert m.erase(frame(spark, [(0, 29, 0, 0)])).deleted == 1
+    marked = StaticMap.create(spark, "long", "long", EMPTY, EMPTY).with_erased_key(-2)
+    assert marked.insert(frame(spark, [(0, -2, 1, 0), (1, 3, 1, 0)])).failed == 1
+    with pytest.raises(ValueError):
+        marked.with_erased_key(EMPTY)
