@@ -43,6 +43,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 _scopes: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -52,24 +53,52 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in reversed(_scopes.pop()):
+            if "/" not in path:
+                spark.sql(f"DROP TABLE IF EXISTS {path}")
+                continue
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Executions that begin inside remove their shuffle files as they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage durably.
 
-    Inside ``scratch`` the table lives until its end, with ``keep`` until the end of the scope around it.
+    The write's shuffle files go as it ends.  Inside ``scratch`` the table lives until its end, with ``keep`` until the end of the scope around it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with _cleanup(spark):
+        df.write.parquet(path)
     if len(_scopes) > keep:
         _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``materialize``, bucketed by ``column``: later joins on it do not shuffle this side.
+
+    Only inside ``scratch``, which drops the table; a catalog entry names the buckets meanwhile.
+    """
+    spark = df.sparkSession
+    path, entry = fresh_path(spark, name), f"keyloom_{name}_{uuid.uuid4().hex}"
+    with _cleanup(spark):
+        df.write.option("path", path).bucketBy(partitions(spark), column).sortBy(column).saveAsTable(entry)
+    _scopes[-1] += [path, entry]
+    return spark.table(entry)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,8 @@ sets.  The result is exact: routing by prefixes and the certificate below lose n
 3.  Certificate: a link between two components needs ceil(0.75 n) tokens of both documents that occur
     in other components.  Documents with fewer are done.
 4.  Second round: of the open documents' c such tokens, ordered by frequency, a pair shares one of the
-    first c - ceil(0.75 n) + 1 of each; groups by these find every remaining link.
+    first c - ceil(0.75 n) + 1 of each.  In groups by these, trees over bitmaps alone find which
+    documents might link; connected ones form clusters, and in a cluster whole sets are compared.
 """
 
 from __future__ import annotations
@@ -24,18 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, grouped, materialize, partitions, scratch
+from keyloom.llm.common import components, grouped, materialize, materialize_bucketed, partitions, scratch
 
 NUM, DEN = 75, 100
 K = 5
 FIRST_KEYS = 2
-BLOCK = 2048
+#: Tokens of a block: groups of more are dealt as pairs of blocks.
+BLOCK = 1 << 20
+#: The same for groups of bitmaps alone, in rows.
+ROWS = 4096
 FAN = 16
 
-_word_hash: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -47,22 +50,14 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_word_hash) > 500_000:
-        _word_hash.clear()
-    codes = list(map(_word_hash.get, words))
-    if None in codes:
-        for i, x in enumerate(codes):
-            if x is None:
-                codes[i] = xxhash.xxh3_64_intdigest(words[i])
-                if len(words[i]) <= 64:
-                    _word_hash[words[i]] = codes[i]
-    w = np.array(codes, np.uint64)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(K, len(w))
     h = np.full(len(w) - k + 1, np.uint64(k))
     for j in range(k):
         h = (h ^ (h >> np.uint64(31))) * _M1 + w[j : j + len(h)]
     h = (h ^ (h >> np.uint64(33))) * _M2
-    return np.unique(h ^ (h >> np.uint64(29)))
+    h = np.sort(h ^ (h >> np.uint64(29)))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def need(n: int) -> int:
@@ -72,14 +67,26 @@ def need(n: int) -> int:
 
 def slack(n: int) -> int:
     """l(n), the common prefix tokens that a prefix is long enough for."""
-    return 1 + n // 20
+    return 1 + n // 10
 
 
-_SHORT = f"1 + floor(ceil({NUM} * n / {DEN}.0) / 20)"
+_SHORT = f"1 + floor(ceil({NUM} * n / {DEN}.0) / 10)"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small slices, so that a worker holds the sets of few documents at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         sizes, ones, twos, prefixes = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
@@ -87,34 +94,33 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             ones.append(int.from_bytes(d[:8], "little", signed=True))
             twos.append(int.from_bytes(d[8:], "little", signed=True))
-            prefixes.append(s[: len(s) - need(len(s)) + slack(len(s))].view(np.int64) if len(s) else s.view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
+            prefixes.append(s[: len(s) - need(len(s)) + slack(len(s))].copy() if len(s) else s)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(prefixes)], names=["doc_id", "n", "d1", "d2", "prefix"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(text.as_py()).view(np.int64) for text in batch.column("text")]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), batch.column("keys"), lists], names=["doc_id", "n", "keys", "tokens"])
+    for batch in _parts(batches):
+        sets = [shingles(text.as_py()) for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), batch.column("keys"), _lists(sets)], names=["doc_id", "n", "keys", "tokens"])
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of n tokens: a power of two, twice n or more up to 2**16."""
+    return min(1 << 16, max(256, 1 << (2 * n - 1).bit_length()))
+
+
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Packed bits, one set for each token's low bits.  Its halves ORed are the bitmap of half the width."""
+    flags = np.zeros(width, bool)
+    flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.uint64)
 
 
 class SignatureTree:
     """Leaves are documents in the given order; each node above joins ``FAN`` neighbours."""
 
-    def __init__(self, sets: list[np.ndarray], part: np.ndarray) -> None:
-        """``part``: a number for each document; documents of one part need not be compared."""
-        sizes = np.array([len(s) for s in sets])
-        width = min(1 << 16, max(256, 1 << int(2 * sizes.max()).bit_length()))
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        for row, s in zip(bits, sets, strict=True):
-            at = (s & np.uint64(width - 1)).astype(np.int64)
-            flags = np.zeros(width, bool)
-            flags[at] = True
-            row[:] = np.packbits(flags)
-        bits = bits.view(np.uint64)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> None:
+        """``bits``: a bitmap a row; ``part``: a number a row; rows of one part need not be compared."""
         self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), part)]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, extra, part = self.levels[-1]
@@ -201,7 +207,9 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray | No
         part = np.array([find(i) for i in range(n)])
         if (part != part[0]).any():
             by = np.lexsort((np.array([len(s) for s in sets]), part))
-            tree = SignatureTree([sets[i] for i in by], part[by])
+            sizes = np.array([len(sets[i]) for i in by])
+            width = width_of(int(sizes.max()))
+            tree = SignatureTree(np.array([bitmap(sets[i], width) for i in by]), sizes, part[by])
             for a, b in tree.pairs():
                 for i, j in zip(by[a].tolist(), by[b].tolist(), strict=True):
                     test(i, j)
@@ -223,22 +231,78 @@ def _join(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["u", "v"])
 
 
-def _round(sets: DataFrame, whole: bool) -> DataFrame:
-    """Links among ``sets(doc_id, label, keys, tokens)`` that share a key.
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
+        sets = [np.array(x.values, np.int64).view(np.uint64) for x in batch.column("tokens")]
+        bits = [bitmap(s, width_of(len(s))).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("label"), pa.array(bits, pa.binary())], names=["doc_id", "n", "label", "bits"])
+
 
-    Groups of over ``BLOCK`` documents are dealt as pairs of blocks: all of them if ``whole``, else
-    each block with block 0 (the certificate finds what that leaves).
+def _meet(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs of different components that a group's bitmaps allow to link.
+
+    A link's sizes differ by a third at most, so its bitmaps' widths are equal or one is twice the
+    other: each width meets itself and the next, halved.
+    """
+    if group.num_rows < 2:
+        return
+    ids, n, label, block = (group.column(c).to_numpy() for c in ("doc_id", "n", "label", "block"))
+    bits = [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()]
+    words = np.array([len(x) for x in bits])
+    part = np.unique(label, return_inverse=True)[1]
+    across = (block != block[0]).any()
+    root = np.arange(len(ids))
+    for k in np.unique(words).tolist():
+        own = np.flatnonzero((words == k) | (words == 2 * k))
+        own = own[np.lexsort((n[own], part[own]))]
+        rows = np.array([bits[i] if len(bits[i]) == k else bits[i][:k] | bits[i][k:] for i in own])
+        for a, b in SignatureTree(rows, n[own], part[own]).pairs():
+            a, b = own[a], own[b]
+            keep = (words[a] == k) | (words[b] == k)
+            if across:
+                keep &= block[a] != block[b]
+            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                while root[j] != j:
+                    root[j] = j = root[root[j]]
+                root[max(i, j)] = min(i, j)
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    if len(other):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[root[other]])], names=["u", "v"])
+
+
+def _dealt(keyed: DataFrame, weight: Column, most: int, whole: bool) -> DataFrame:
+    """``keyed(doc_id, key)`` as (doc_id, task, block): groups of a total weight over ``most`` in pairs of blocks.
+
+    All pairs of them if ``whole``, else each block with block 0 (the certificate finds what that leaves).
     """
-    keyed = sets.select("doc_id", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("size")).filter("c > 1").select("key", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
     keyed = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     keyed = keyed.withColumn("k", F.explode(every if whole else F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0), F.col("block")))))
-    keyed = keyed.withColumn("task", F.xxhash64("key", F.least("block", "k"), F.greatest("block", "k"))).select("doc_id", "task", "block").distinct()
-    dealt = keyed.join(sets.select("doc_id", "label", "tokens"), "doc_id").repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
+    return keyed.withColumn("task", F.xxhash64("key", F.least("block", "k"), F.greatest("block", "k"))).select("doc_id", "task", "block").distinct()
+
+
+def _round(sets: DataFrame, whole: bool) -> DataFrame:
+    """Links among ``sets(doc_id, n, label, keys, tokens)`` that share a key."""
+    dealt = _dealt(sets.select("doc_id", "n", F.explode("keys").alias("key")), F.col("n"), BLOCK, whole)
+    dealt = dealt.join(sets.select("doc_id", "label", "tokens"), "doc_id").repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInArrow(grouped("task", _join), "u long, v long")
 
 
+def _clusters(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, keys) of documents that some other may link to: the smallest doc_id of its cluster, as the only key.
+
+    Only bitmaps are dealt to the groups of ``keys(doc_id, keys)``; whole sets meet once, in clusters.
+    """
+    signed = sets.mapInArrow(_sign, "doc_id long, n long, label long, bits binary")
+    dealt = _dealt(keys.select("doc_id", F.explode("keys").alias("key")), F.lit(1), ROWS, whole=True)
+    dealt = dealt.join(signed, "doc_id").repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
+    reached = components(materialize(dealt.mapInArrow(grouped("task", _meet), "u long, v long"), "candidates"))
+    return reached.select(F.col("id").alias("doc_id"), F.array("component").alias("keys"))
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n) of all documents, (id, component) of those in components of several); two narrow tables."""
     with scratch(docs.sparkSession):
@@ -250,31 +314,39 @@ def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sketch")
     own = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     copies = own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    tokens = own.select("doc_id", "n", "d1", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a <> b").select("token")
-    met = tokens.join(shared, "token").groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.collect_list("token").alias("keys"))
-    met = met.filter(f"c >= {_SHORT}").select("doc_id", F.slice(F.array_sort("keys"), 1, FIRST_KEYS).alias("keys"))
+    tokens = own.select("doc_id", F.explode("prefix").alias("token"))
+    shared = own.select("d1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a <> b").select("token")
+    met = tokens.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.collect_list("token").alias("keys"))
+    met = met.join(own.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").filter(f"c >= {_SHORT}").select("doc_id", F.slice(F.array_sort("keys"), 1, FIRST_KEYS).alias("keys"))
     alive = materialize(met.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "alive")
     texts = docs.select("doc_id", "text").join(alive, "doc_id")
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, n long, keys array<long>, tokens array<long>").filter("n > 0"), "sets")
+    sets = texts.mapInArrow(_sets, "doc_id long, n long, keys array<long>, tokens array<long>").filter("n > 0")
+    sets = materialize_bucketed(sets, "sets", "doc_id")
 
-    first = components(_round(sets.withColumn("label", F.col("doc_id")), whole=False))
+    first = components(materialize(_round(sets.withColumn("label", F.col("doc_id")), whole=False), "links"))
     first = materialize(first, "first")
-    labelled = sets.join(first, sets["doc_id"] == first["id"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("label"), "tokens")
-    labelled = materialize(labelled, "labelled")
 
-    def crossing(frame: DataFrame, *more) -> DataFrame:
-        """Rows (doc_id, n, label, token) whose token occurs in several components."""
-        rows = frame.select("doc_id", "n", "label", F.explode("tokens").alias("token"))
-        cross = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("token", "df")
+    def named(frame: DataFrame) -> DataFrame:
+        """``frame`` with the component of each document as label."""
+        return frame.join(first, frame["doc_id"] == first["id"], "left").select(*frame.columns, F.coalesce("component", "doc_id").alias("label"))
+
+    def crossing(frame: DataFrame) -> DataFrame:
+        """(doc_id, token, df) of tokens that occur in several components."""
+        rows = frame.select("doc_id", F.explode("tokens").alias("token"))
+        by_label = named(frame.select("doc_id", "tokens")).select("label", F.explode("tokens").alias("token"))
+        cross = by_label.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("token", "df")
         return rows.join(cross, "token")
 
+    sizes = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
     least = F.ceil(F.col("n") * NUM / DEN)
-    open_ = crossing(labelled).groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least).select("doc_id")
-    rest = materialize(labelled.join(open_, "doc_id", "left_semi"), "open")
-    rare = crossing(rest).groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    rare = rare.filter(F.col("c") >= least).select("doc_id", F.expr(f"transform(slice(t, 1, greatest(0, cast(c - ceil(n * {NUM} / {DEN}) + 1 AS int))), x -> x.token)").alias("keys"))
-    second = _round(rest.join(rare, "doc_id"), whole=True)
+    open_ = crossing(sets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).join(sizes, "doc_id").filter(F.col("c") >= least).select("doc_id")
+    open_ = materialize(open_, "open")
+    rest = materialize(named(sets.drop("keys").join(open_, "doc_id", "left_semi")), "rest")
+    rare = crossing(rest.drop("label")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    rare = rare.join(sizes, "doc_id").filter(F.col("c") >= least).select("doc_id", F.expr(f"transform(slice(t, 1, greatest(0, cast(c - ceil(n * {NUM} / {DEN}) + 1 AS int))), x -> x.token)").alias("keys"))
+    rare = materialize(rare, "rare")
+    near = materialize(_clusters(rest, rare), "clusters")
+    second = materialize(_round(rest.join(near, "doc_id"), whole=True), "second")
     links = first.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(second)
     reps = own.select("doc_id", "d1", "d2", "n").join(copies, ["d1", "d2", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     return sketch, components(links.union(reps))

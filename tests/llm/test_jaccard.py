@@ -44,9 +44,10 @@ def family(seed, n, words, most):
     return [edited(base, 1000 * seed + i, i % (most + 1)) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [2048, 8])
+@pytest.mark.parametrize("block", [1 << 20, 700])
 def test_same_classes_as_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ROWS", min(4096, block // 100))
     passage = prose(77, 60)
     texts = [t for s in range(6) for t in family(s, 14, 60 + 30 * s, 3 + s)]
     texts += [prose(200 + i, 150) + " " + passage for i in range(20)] + [passage] * 3 + [edited(passage, i, 2) for i in range(6)]
@@ -89,7 +90,8 @@ def test_traversal_alone_finds_every_pair():
     r = np.random.default_rng(5)
     base = np.unique(r.integers(0, 2**63, 90, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[r.random(len(base)) > 0.08], r.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(60)]
-    tree = jaccard.SignatureTree(sets, np.arange(60))
+    sizes = np.array([len(s) for s in sets])
+    tree = jaccard.SignatureTree(np.array([jaccard.bitmap(s, 256) for s in sets]), sizes, np.arange(60))
     seen = {(int(i), int(j)) for a, b in tree.pairs() for i, j in zip(a, b, strict=True)}
     assert {(i, j) for i in range(60) for j in range(i + 1, 60) if jaccard.similar(sets[i], sets[j])} <= seen
 
@@ -101,3 +103,10 @@ def test_nasty_and_empty(nasty, none):
     kept = jaccard.keep_one(nasty)
     assert kept.columns == nasty.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in brute(rows) if i == c or i is None}
+
+
+def test_halved_bitmaps():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64))
+    wide, half = jaccard.bitmap(s, 1024), jaccard.bitmap(s, 512)
+    assert (wide[:8] | wide[8:] == half).all()
+    assert [jaccard.width_of(n) for n in (1, 128, 129, 10**6)] == [256, 256, 512, 1 << 16]
