@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, distributed_rank, materialize, null_safe_join, scratch
 
+#: Offsets that a source chooses from.
+OFFSETS = 16
+
 
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
@@ -65,10 +68,18 @@ def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: fl
     start = _fraction(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0null")))))
     targets = targets.withColumn("_rate", F.when(F.col("source_size") > 0, rate).otherwise(0.0)).withColumn("_u", start)
     ranked = distributed_rank(base, ["source"], ["size", "_h", "doc_id"], "_rank")
-    joined = null_safe_join(ranked, targets, ["source"])
-    crossed = F.floor(F.col("_rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_u"))
-    copies = F.least(crossed, F.ceil("_rate")).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = materialize(null_safe_join(ranked, targets, ["source"]), "placed")
+
+    def copies(offset: Column) -> Column:
+        crossed = F.floor(F.col("_rank") * F.col("_rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("_rate") + offset)
+        return F.least(crossed, F.ceil("_rate")).cast("long")
+
+    offsets = [(F.col("_u") + F.lit(float(k))) / F.lit(float(OFFSETS)) for k in range(OFFSETS)]
+    sums = joined.groupBy("source").agg(F.max("target").alias("t"), F.max("_u").alias("_u"), *[F.sum(copies(u) * F.col("size")).alias(f"s{k}") for k, u in enumerate(offsets)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(offsets)]))
+    joined = null_safe_join(joined.drop("_u"), sums.select("source", nearest["u"].alias("_offset")), ["source"])
+    joined = joined.withColumn("copies", copies(F.col("_offset")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
