@@ -38,6 +38,8 @@ BLOCK = 1 << 20
 #: The same for groups of bitmaps alone, in rows.
 ROWS = 4096
 FAN = 16
+#: Routing looks at a token's high 48 bits: tokens that agree there only seem shared, which loses no pair.
+ROUTING = np.uint64(0xFFFF_FFFF_FFFF_0000)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -94,7 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             ones.append(int.from_bytes(d[:8], "little", signed=True))
             twos.append(int.from_bytes(d[8:], "little", signed=True))
-            prefixes.append(s[: len(s) - need(len(s)) + slack(len(s))].copy() if len(s) else s)
+            prefixes.append(s[: len(s) - need(len(s)) + slack(len(s))] & ROUTING if len(s) else s)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(prefixes)], names=["doc_id", "n", "d1", "d2", "prefix"])
 
 
@@ -319,7 +321,7 @@ def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = tokens.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.collect_list("token").alias("keys"))
     met = met.join(own.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").filter(f"c >= {_SHORT}").select("doc_id", F.slice(F.array_sort("keys"), 1, FIRST_KEYS).alias("keys"))
     alive = materialize(met.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "alive")
-    texts = docs.select("doc_id", "text").join(alive, "doc_id")
+    texts = docs.select("doc_id", "text").join(alive.hint("shuffle_hash"), "doc_id")  # the same way at every size
     sets = texts.mapInArrow(_sets, "doc_id long, n long, keys array<long>, tokens array<long>").filter("n > 0")
     sets = materialize_bucketed(sets, "sets", "doc_id")
 
@@ -332,8 +334,9 @@ def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def crossing(frame: DataFrame) -> DataFrame:
         """(doc_id, token, df) of tokens that occur in several components."""
-        rows = frame.select("doc_id", F.explode("tokens").alias("token"))
-        by_label = named(frame.select("doc_id", "tokens")).select("label", F.explode("tokens").alias("token"))
+        high = F.col("token").bitwiseAND(F.lit(int(ROUTING.astype(np.int64)))).alias("token")
+        rows = frame.select("doc_id", F.explode("tokens").alias("token")).select("doc_id", high)
+        by_label = named(frame.select("doc_id", "tokens")).select("label", F.explode("tokens").alias("token")).select("label", high)
         cross = by_label.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("token", "df")
         return rows.join(cross, "token")
 
@@ -368,4 +371,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that link to a smaller doc_id."""
     _, reached = classes_of(docs)
     gone = reached.filter("id <> component").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
