@@ -371,4 +371,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that link to a smaller doc_id."""
     _, reached = classes_of(docs)
     gone = reached.filter("id <> component").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")

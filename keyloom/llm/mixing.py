@@ -89,5 +89,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__mix_id"))
     plan = plan.agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__mix_copies")).filter("__mix_copies > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__mix_id"]))
+    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["__mix_id"]))
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
