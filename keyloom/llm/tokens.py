@@ -42,6 +42,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class _Words(dict):
+    """word -> ids after ``lead``; encodes what it lacks."""
+
+    def __init__(self, encoder: Encoder, lead: str) -> None:
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encoder._word(word, self, self.lead)
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; one a worker and file."""
 
@@ -58,8 +68,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_alphabet()))
         self.space = self.letters[32]
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self.after_space = _Words(self, "" if self.lower else " ")
+        self.alone = _Words(self, "")
+        self.stops: dict[str, bytes] = {}
         self.spans: dict[str, tuple[int, bytes, bytes]] = {}
 
     @classmethod
@@ -89,47 +100,37 @@ class Encoder:
         if not m:
             ids = self._whole(lead + word)
         elif m[2]:
-            stem = cache.get(m[1]) or self._word(m[1], cache, lead)
-            stops = self.alone.get(m[2])
+            stops = self.stops.get(m[2])
             if stops is None:
-                stops = self.alone[m[2]] = self._model(m[2])
-            ids = stem + stops
+                stops = self.stops[m[2]] = self._model(m[2])
+            ids = cache[m[1]] + stops
         else:
             ids = self._model(lead + word)
         if len(word) <= CACHED_CHARS:
             cache[word] = ids
         return ids
 
-    def _all(self, words: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
-        get = cache.get
-        found = list(map(get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = get(words[i]) or self._word(words[i], cache, lead)
-        return found
-
     def ids(self, text: str | None) -> bytes:
-        text = text or ""
+        if not text:
+            return b""
         if len(self.after_space) + len(self.alone) > CACHE_WORDS:
             self.after_space.clear()
             self.alone.clear()
-        if not text:
-            return b""
+            self.stops.clear()
+        alone, after_space = self.alone.__getitem__, self.after_space.__getitem__
         if self.lower:
             if _ODD_SPACE.search(text) or not text.isascii() and _NO_LOWER.search(text):
-                return b"".join([self._whole(x) for x in SEGMENT.findall(text)])
-            return b"".join(self._all(text.lower().split(), self.after_space, ""))
+                return b"".join(map(self._whole, SEGMENT.findall(text)))
+            return b"".join(map(after_space, text.lower().split()))
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
-            return b"".join(self._all(SEGMENT.findall(text), self.alone, ""))
-        newline = self._all(["\n"], self.alone, "")[0]
-        out: list[bytes] = []
+            return b"".join(map(alone, SEGMENT.findall(text)))
+        newline, out = alone("\n"), []
         for line in text.split("\n"):
             words = line.split(" ")
             if out:
                 out.append(newline)
-            out += self._all(words[:1], self.alone, "")
-            out += self._all(words[1:], self.after_space, " ")
+            out.append(alone(words[0]))
+            out.extend(map(after_space, words[1:]))
         return b"".join(out)
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
