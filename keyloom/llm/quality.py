@@ -18,7 +18,7 @@ from keyloom.llm.common import materialize, null_safe_join
 
 ALPHA = 0.02
 DELTA = 0.05
-_WS = " \\t\\n\\u000b\\f\\r"
+_WS = " \\t\\n\\u000b\\u000c\\r"  # Spark SQL escapes; it has none for a form feed but \\u
 
 #: name -> (rate as SQL over the base counts, +1 if high rates are bad or -1, cutoffs from lax to strict)
 RULES: dict[str, tuple[str, int, tuple[float, ...]]] = {

@@ -62,3 +62,9 @@ def test_tail(spark):
         want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
         got = spark.range(1).select(quality._tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p)).first()[0]
         assert math.isclose(got, want, rel_tol=1e-6)
+
+
+def test_edges_of_f_and_form_feed(spark):
+    texts = ["off foo off", "fff fff fff ff", "f", "\x0cone two\x0c", "a\nf\nff\nf\nf", " \x0b\x0c\r\n\x0c\n", "ein Ruf auf\n\x0c\nauf", "\x0b\x0cf\x0c"]
+    got = {r["doc_id"]: tuple(r)[1:6] for r in quality.judge(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert got == {i: counts(t) for i, t in enumerate(texts)}
