@@ -85,6 +85,8 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
     return out
 
 
+#: A run of as many digits as a card has that fails the check digit: what the scan itself contradicts.
+CONTRARY = "instance RLIKE '^[0-9](-?[0-9]){13,18}$' AND NOT luhn_check(replace(instance, '-', ''))"
 _MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_())])
 _SPAN = pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())])
 
@@ -98,13 +100,16 @@ def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int)
     schema = "doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:long,k:int,end:long>>, mentions array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean>>"
     rows = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scan, schema), "pii")
     graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
+    graph = graph.withColumn("contrary", ~F.col("seed") & F.expr(CONTRARY))
     confident = graph.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0))
     for _ in range(rounds):
-        known = graph.join(confident, "instance", "left").withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))))
-        scored = known.groupBy("pattern", "instance").agg(F.sum("conf").alias("s"), F.count(F.lit(1)).alias("n"), F.max("conf").alias("c"))
-        patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.sum("n") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
+        known = graph.join(confident, "instance", "left").withColumn("conf", F.when(F.col("seed"), 1.0).when(F.col("contrary"), 0.0).otherwise(F.col("conf")))
+        scored = known.groupBy("pattern", "instance").agg(F.max("conf").alias("c"))  # null: neither confirmed nor contradicted
+        patterns = scored.groupBy("pattern").agg((F.sum("c") / (F.count("c") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
         good = materialize(patterns.filter((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("pattern", "score"), "patterns")
-        confident = graph.join(good, "pattern").groupBy("instance").agg(F.max("score").alias("conf"))
+        trusted = graph.join(good, "pattern").groupBy("instance").agg(F.max("score").alias("conf"))
+        seeds = graph.filter("seed").select("instance", F.lit(1.0).alias("conf"))
+        confident = trusted.union(seeds).groupBy("instance").agg(F.max("conf").alias("conf"))
     return rows, graph, good
 
 
@@ -114,8 +119,10 @@ def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_su
     Base entities and long hexadecimal secrets are the seeds.  Their mentions and those of
     identifier-like tokens make a graph of patterns (the word before and the token's shape) and
     instances (the token); Spark scores it for ``rounds`` rounds: a pattern by the mean confidence of
-    its mentions (one pseudo-mention of 0 added), if ``least_support`` different instances confirm
-    it, and an instance by its best pattern.  Mentions of patterns of ``least_score`` or more get the
+    its confirmed and contradicted instances (one pseudo-instance of 0 added), if ``least_support``
+    different instances confirm it, and an instance by its best pattern.  Confirmed are seeds and
+    instances of trusted patterns, contradicted are card numbers that fail their check digit; an
+    instance that is neither says nothing about its pattern, however many there are.  Mentions of patterns of ``least_score`` or more get the
     kind ``context``; secrets get ``secret``.  Base spans are never changed.
 
     Only mentions (a few a document) are shuffled, with partial aggregation by pattern and instance.

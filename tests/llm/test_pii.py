@@ -79,3 +79,17 @@ def test_nasty_and_empty(nasty, none):
     same = pii.redacted(nasty)
     assert sorted(map(str, same.collect())) == sorted(map(str, nasty.collect())) and same.columns == nasty.columns
     assert pii.extract(none).count() == 0 and pii.redacted(none).count() == 0
+
+
+def test_discovery_at_the_querys_own_bar(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in corpus()], SCHEMA)
+    for r in pii.extract(docs).drop("found", "uid").collect():
+        assert r["spans"].count("context:") == (60 <= r["doc_id"] < 80)
+    for r in pii.redacted(docs).collect():
+        assert ("<CONTEXT>" in r["text"]) == (60 <= r["doc_id"] < 80)
+
+
+def test_failed_check_digits_contradict_a_pattern(spark):
+    digits = lambda i, ok: next(n for n in (f"{4000000000000000 + 7919 * i + k}" for k in range(10)) if pii.luhn(n) == ok)
+    rows = [(i, f"see the {digits(i, i < 20)} there", "en", "s", 1) for i in range(30)]
+    assert not [r for r in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect() if "context" in r["spans"]]
