@@ -59,15 +59,15 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
         return materialize(_mix(docs, size, weights, cap, seed), "mixed", keep=True)
 
 
-def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: float, seed: int) -> DataFrame:
+def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: float, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
     size = word_count(docs["text"]) if size is None else size
-    base = docs.select("doc_id", "source", size.cast("long").alias("size"))
+    base = docs.select("doc_id", "source", size.cast("long").alias("size"), *carried)
     base = materialize(base.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), "mix")
     targets = source_targets(base, weights, cap)
     rate = F.col("target") / F.col("source_size")
     start = _fraction(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0null")))))
     targets = targets.withColumn("_rate", F.when(F.col("source_size") > 0, rate).otherwise(0.0)).withColumn("_u", start)
-    ranked = distributed_rank(base, ["source"], ["size", "_h", "doc_id"], "_rank")
+    ranked = distributed_rank(base, ["source"], ["size", "_h", "doc_id", *carried], "_rank")
     joined = materialize(null_safe_join(ranked, targets, ["source"]), "placed")
 
     def copies(offset: Column) -> Column:
@@ -79,15 +79,19 @@ def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: fl
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(offsets)]))
     joined = null_safe_join(joined.drop("_u"), sums.select("source", nearest["u"].alias("_offset")), ["source"])
     joined = joined.withColumn("copies", copies(F.col("_offset")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", *carried).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
     """The mix itself: each document repeated ``copies`` times, with the columns of ``docs``.
 
-    Rows that share a doc_id share its copies evenly, rounded down.
+    Rows are numbered and meet their copies by number, so repeated and null doc_ids are documents of
+    their own here too.
     """
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__mix_id"))
-    plan = plan.agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__mix_copies")).filter("__mix_copies > 0")
-    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["__mix_id"]))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    size = word_count(docs["text"]) if size is None else size
+    numbered = materialize(docs.withColumns({"__mix_row": F.monotonically_increasing_id(), "__mix_size": size}), "numbered")
+    with scratch(docs.sparkSession):
+        plan = _mix(numbered, F.col("__mix_size"), weights, cap, seed, ("__mix_row",)).filter("copies > 0")
+        plan = materialize(plan.select(F.col("__mix_row").alias("__mix_id"), F.col("copies").cast("int").alias("__mix_copies")), "mixed", keep=True)
+    joined = numbered.join(plan.hint("shuffle_hash"), F.col("__mix_row") == F.col("__mix_id"))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[numbered[c] for c in docs.columns])

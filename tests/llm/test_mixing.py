@@ -1,6 +1,8 @@
 import math
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import mixing
 from tests.llm.conftest import SCHEMA
 
@@ -64,3 +66,14 @@ def test_nasty_and_empty(nasty, none):
     assert all(r["size"] == 0 and r["taken"] == 0 for r in found if r["doc_id"] in (4, 5, 6))
     assert mixing.apply_mix(nasty).columns == nasty.columns
     assert mixing.mix(none).count() == 0 and mixing.apply_mix(none).count() == 0
+
+
+def test_applied_copies_are_the_planned_ones_with_repeated_and_null_ids(spark):
+    rows = [(i // 2 if i % 3 else None, "w " * (1 + i % 9), "en", f"s{i % 4}", i) for i in range(600)]
+    rows += [(7000, "a b c", "en", "s0", 1)] * 2 + [(7001, "d e f", "en", "s2", 1)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    planned = defaultdict(int)
+    for r in mixing.mix(docs).filter("copies > 0").collect():
+        planned[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    applied = mixing.apply_mix(docs).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").count().collect()
+    assert {tuple(r)[:3]: r[3] for r in applied} == planned
