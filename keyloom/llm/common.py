@@ -10,9 +10,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,47 +44,79 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: Tables of the open scopes, innermost last; each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("keyloom_scopes", default=())
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning: dict[int, tuple[int, str | None]] = {}
+_cleaning_lock = threading.Lock()
+
+
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a classic session; a remote session has no JVM to ask and keeps its files."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that ``materialize`` wrote inside it without ``keep``."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in reversed(_scopes.pop()):
+        _scopes.reset(token)
+        for path in reversed(own):
             if "/" not in path:
                 spark.sql(f"DROP TABLE IF EXISTS {path}")
-                continue
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            elif found := _place(spark, path):
+                found[0].delete(found[1], True)
+
+
+def _track(spark: SparkSession, path: str, keep: bool) -> None:
+    """Puts a table in the innermost scope, with ``keep`` in the one around it; outside all, it goes with the JVM."""
+    scopes = _scopes.get()
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
+    elif found := _place(spark, path):
+        found[0].deleteOnExit(found[1])
 
 
 @contextmanager
 def _cleanup(spark: SparkSession) -> Iterator[None]:
-    """Executions that begin inside remove their shuffle files as they end."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Executions that begin inside remove their shuffle files as they end; the setting returns when no thread is inside."""
+    with _cleaning_lock:
+        depth, before = _cleaning.get(id(spark), (0, None))
+        if not depth:
+            before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _cleaning[id(spark)] = depth + 1, before
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        with _cleaning_lock:
+            depth, before = _cleaning.pop(id(spark))
+            if depth > 1:
+                _cleaning[id(spark)] = depth - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage durably.
 
-    The write's shuffle files go as it ends.  Inside ``scratch`` the table lives until its end, with ``keep`` until the end of the scope around it.
+    The write's shuffle files go as it ends.  Inside ``scratch`` the table lives until its end, with
+    ``keep`` (for what a result reads) until the end of the scope around it; outside all scopes until
+    the JVM ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _track(spark, path, keep)
     with _cleanup(spark):
         df.write.parquet(path)
-    if len(_scopes) > keep:
-        _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,9 +127,9 @@ def materialize_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, entry = fresh_path(spark, name), f"keyloom_{name}_{uuid.uuid4().hex}"
+    _scopes.get()[-1].extend([path, entry])
     with _cleanup(spark):
         df.write.option("path", path).bucketBy(partitions(spark), column).sortBy(column).saveAsTable(entry)
-    _scopes[-1] += [path, entry]
     return spark.table(entry)
 
 
@@ -130,6 +164,17 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
     return joined.withColumn(name, F.col("_off") + F.row_number().over(within)).drop("_pid", "_off")
 
 
+def _lookup(rows: DataFrame, low: DataFrame, bar: int) -> DataFrame:
+    """``rows(u, v)`` with the ``m`` of u from ``low(u, m, deg)``; nodes of over ``bar`` edges don't meet in one task.
+
+    ``bar`` is a thousandth of all edges, so at most 2,000 nodes are above it: their ``m`` goes to all
+    executors, and their rows stay where they are.
+    """
+    hot = F.broadcast(low.filter(F.col("deg") > bar).select("u", "m"))
+    few = low.filter(F.col("deg") <= bar).select("u", "m")
+    return rows.join(hot, "u").select("u", "v", "m").union(rows.join(few, "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as (id, component): the smallest id that links reach.
 
@@ -143,12 +188,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        state = now
+        state, bar = now, max(1, now[0] // 1000)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).withColumn("m", F.least("m", "u"))
+        # a node's larger neighbours move to its smallest one
+        large = _lookup(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, bar).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
+        small = _lookup(large, low, bar).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
