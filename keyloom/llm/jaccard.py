@@ -360,7 +360,10 @@ def join(docs: DataFrame) -> DataFrame:
 
     Null or empty texts and texts without words have no shingles and link with nothing, as do rows
     without a doc_id.  Repeated rows are documents that link; rows that share a doc_id share its
-    component.  Equal texts cost one document.  Empty input: empty result.
+    component.  Ties: the smallest doc_id names a component, whatever the order of rows.  Very long
+    texts: a worker holds one text's shingles at a time, a group of sets of over ``BLOCK`` tokens is
+    dealt in blocks.  Equal texts cost one document.  Other columns are not read, so none clashes.
+    Empty input: empty result.
     """
     sketch, reached = classes_of(docs)
     full = sketch.select("doc_id", "n").join(reached, F.col("doc_id") == F.col("id"), "left")
@@ -368,7 +371,32 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that link to a smaller doc_id."""
-    _, reached = classes_of(docs)
-    gone = reached.filter("id <> component").select(F.col("id").alias("__gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row, with all columns, of each group of linked documents: that of the smallest doc_id.
+
+    Every row is a document here: rows that share a doc_id, and rows without one, link by their texts
+    alone, so of equal rows one stays; a null doc_id comes after all others, and of rows that agree in
+    doc_id any one stays.  Where doc_ids are unique they name the rows; a table in which some repeat
+    or are null is written once with row numbers instead.  Rows without words link with nothing and
+    all stay.  Other columns pass unread, whatever their names but ``__row`` and ``__gone``.  Empty
+    input: empty result.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.max((F.col("c") > 1) | F.col("doc_id").isNull()), F.lit(False)))
+    if not ids.first()[0]:
+        _, reached = classes_of(docs.select("doc_id", "text"))
+        gone = reached.filter("id <> component").select(F.col("id").alias("__gone"))
+        return _without(docs, docs["doc_id"], gone)
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    with scratch(docs.sparkSession):
+        _, reached = classes_of(numbered.select(F.col("__row").alias("doc_id"), "text"))
+        named = numbered.select("__row", F.col("doc_id").alias("__id")).join(reached, F.col("__row") == F.col("id"))
+        first = named.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__first"))
+        gone = materialize(named.join(first, "component").filter("__row <> __first").select(F.col("__row").alias("__gone")), "gone", keep=True)
+    return _without(numbered, numbered["__row"], gone).select(*[numbered[c] for c in docs.columns])
+
+
+def _without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``rows`` but for those whose key is in ``gone(__gone)``.
+
+    Joined the same way at every size; the built side is unique numbers, dealt evenly by hash.
+    """
+    return rows.join(gone.hint("shuffle_hash"), key == F.col("__gone"), "left_anti")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import jaccard
 from tests.llm.conftest import SCHEMA, prose
@@ -102,7 +103,30 @@ def test_nasty_and_empty(nasty, none):
     assert got(none) == []
     kept = jaccard.keep_one(nasty)
     assert kept.columns == nasty.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in brute(rows) if i == c or i is None}
+    assert_one_of_each(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
+    assert jaccard.keep_one(none).collect() == [] and jaccard.keep_one(none).columns == nasty.columns
+
+
+def assert_one_of_each(rows, kept):
+    """Every row a document: one of each group stays, of its smallest doc_id (null last); rows without words stay."""
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    groups = {}
+    for k, _, c in brute(numbered):
+        groups.setdefault(c, []).append(k)
+    allowed = [{rows[k] for k in g if rows[k][0] == min((rows[j][0] for j in g), key=lambda i: (i is None, i or 0))} for g in groups.values()]
+    left = list(kept)
+    for choices in sorted(allowed, key=len):
+        one = next(x for x in left if x in choices)
+        left.remove(one)
+    assert left == []
+
+
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    base, other = prose(1, 90), prose(2, 90)
+    rows = [(1, base), (1, base), (1, base), (None, base), (None, base), (2, edited(base, 1, 1)), (2, other), (7, other), (7, other), (None, prose(3, 40)), (None, ""), (None, ""), (9, None), (9, None), (5, prose(4, 40)), (5, prose(5, 40))]
+    for part in (rows, [(i, t) for i, t in rows if i is not None], [(3, base), (4, base), (6, other)]):
+        kept = jaccard.keep_one(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in part], SCHEMA).withColumn("component", F.lit("x")))
+        assert_one_of_each(part, [(r["doc_id"], r["text"]) for r in kept.collect()])
 
 
 def test_halved_bitmaps():
