@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Base counts of each whole text, then cutoffs on rates of them.  A cutoff is used only if labelled
-good documents certify it: with k of n of a stratum's good documents rejected, the exact binomial
-tail P(Bin(n, risk) <= k) must be at most delta divided by the number of all tests (Bonferroni over
-strata, rules and cutoffs).  Then, with probability 1 - delta, no stratum loses more than ``ALPHA``
-of its good documents, whatever the other documents are.
+Base counts of each whole text, then cutoffs on rates of them.  The cutoffs of all rules are tightened
+along one fixed path, a step at a time from lax to strict, so the documents that a step rejects only
+grow.  In each stratum the path is followed as far as labelled good documents certify it: with k of
+n of them rejected, the exact binomial tail P(Bin(n, ALPHA) <= k) must be at most DELTA divided by
+the number of strata (Bonferroni; along a path of growing rejections testing in a fixed order needs
+no correction of its own).  Then, with probability 1 - DELTA, no stratum loses more than ``ALPHA`` of
+its good documents that pass the base rule, whatever the other documents are.
 """
 
 from __future__ import annotations
@@ -14,28 +16,40 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, null_safe_join
+from keyloom.llm.common import materialize, null_safe_join, scratch
 
-ALPHA = 0.02
+ALPHA = 0.03
 DELTA = 0.05
 _WS = " \\t\\n\\u000b\\u000c\\r"  # Spark SQL escapes; it has none for a form feed but \\u
 
 #: name -> (rate as SQL over the base counts, +1 if high rates are bad or -1, cutoffs from lax to strict)
 RULES: dict[str, tuple[str, int, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / cast(greatest(word_chars, 1) as double)", 1, (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
-    "dup_lines": ("n_dup_lines / cast(greatest(n_lines, 1) as double)", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "repeats": ("n_repeat_words / cast(greatest(n_words, 1) as double)", 1, (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "short_words": ("word_chars / cast(greatest(n_words, 1) as double)", -1, (1.0, 1.5, 2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.0, 4.25, 4.5)),
+    "symbols": ("n_symbols / cast(greatest(word_chars, 1) as double)", 1, (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05)),
     "long_words": ("word_chars / cast(greatest(n_words, 1) as double)", 1, (30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
+    "short_words": ("word_chars / cast(greatest(n_words, 1) as double)", -1, (1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 3.5)),
+    "dup_lines": ("n_dup_lines / cast(greatest(n_lines, 1) as double)", 1, (0.9, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35)),
+    "repeats": ("n_repeat_words / cast(greatest(n_words, 1) as double)", 1, (0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3)),
 }
+#: The path: step -> (rule, cutoff).  Each round tightens every rule by one cutoff.
+PATH = [(rule, RULES[rule][2][i]) for i in range(max(len(cuts) for _, _, cuts in RULES.values())) for rule in RULES if i < len(RULES[rule][2])]
+
+
+def first_step(cast: str = "double") -> str:
+    """SQL of the first step (from 1) of the path that rejects a document; null if none does."""
+    cases = []
+    for rule, (rate, way, _) in RULES.items():
+        when = " ".join(f"WHEN {rate} {'>' if way > 0 else '<'} {cut!r} THEN {i}" for i, (own, cut) in enumerate(PATH, 1) if own == rule)
+        cases.append(f"coalesce(CASE {when} END, {len(PATH) + 1})")
+    return f"nullif(least({', '.join(cases)}), {len(PATH) + 1})".replace("as double", f"as {cast}")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang and the counts n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words.
 
-    Each text stays in its row: no shuffle.  Repeated 3-word windows are found by sorting window
-    hashes whose low bits are replaced by the position, so equal windows are neighbours; a window's
-    word is counted once however many repeated windows hold it.
+    Each text stays in its row: no shuffle.  Windows of 3 words that may repeat are found by sorting
+    hashes whose low bits are replaced by the position, so equal windows are neighbours; those are
+    sorted by their words, which alone decide, at every length.  A word is counted once however many
+    repeated windows hold it.
     """
     t = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     t = t.selectExpr("doc_id", "lang", "t", f"btrim(t, '{_WS}') AS s")
@@ -49,12 +63,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "cast(regexp_count(t, '[#*$%&|<>]') AS bigint) AS n_symbols",
         "cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines", "cast(size(lines) AS bigint) AS n_lines",
         "length(bin(size(w))) AS b",
-        "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))) AS h",
+        "w", "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))) AS h",
     )
     kept = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"]
-    t = t.selectExpr(*kept, "b", "sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i AS bigint))) AS z")
+    t = t.selectExpr(*kept, "w", "b", "sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i AS bigint))) AS z")
     same = "shiftright(x, b) = shiftright(get(z, k {}), b)"
-    t = t.selectExpr(*kept, f"sort_array(transform(filter(z, (x, k) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> x & (shiftleft(1L, b) - 1L))) AS p")
+    t = t.selectExpr(*kept, "w", f"transform(filter(z, (x, k) -> {same.format('- 1')} OR {same.format('+ 1')}), x -> cast(x & (shiftleft(1L, b) - 1L) AS int)) AS p")
+    t = t.selectExpr(*kept, "sort_array(transform(p, i -> named_struct('a', get(w, i), 'b', get(w, i + 1), 'c', get(w, i + 2), 'i', i))) AS q")
+    same = "x.a = get(q, k {0}).a AND x.b = get(q, k {0}).b AND x.c = get(q, k {0}).c"
+    t = t.selectExpr(*kept, f"sort_array(transform(filter(q, (x, k) -> coalesce({same.format('- 1')}, false) OR coalesce({same.format('+ 1')}, false)), x -> cast(x.i AS bigint))) AS p")
     return t.selectExpr(*kept, "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x) AS n_repeat_words")
 
 
@@ -72,50 +89,53 @@ def _tail(n: Column, k: Column, risk: float) -> Column:
     return F.aggregate(ks, start, step)["sum"]
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a stratum: the strictest certified cutoff of each rule, null where none is.
+def certified_steps(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, steps): how far along the path each stratum's labelled good documents certify it.
 
-    ``labelled`` holds good documents: ``stratum`` and the base counts.  Of each rule at most
-    alpha / number of rules of a stratum's good documents may be rejected.
+    ``labelled`` holds (stratum, first), ``first`` being the step that rejects the document or null.
+    A histogram of at most ``len(PATH) + 1`` rows a stratum is all that the tests see.
     """
-    risk = alpha / len(RULES)
-    tests = [(rule, i, c, F.expr(rate) > c if way > 0 else F.expr(rate) < c) for rule, (rate, way, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    counts = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(bad).alias(f"{rule}_{i}") for rule, i, _, bad in tests])
-    counts = counts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()) * len(tests))
-    rows = counts.select("stratum", "n", "m", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, i, c, _ in tests])).alias("x")).select("stratum", "n", "m", "x.*")
-    likely = rows.filter(F.col("k") <= F.col("n") * risk)  # beyond, the tail is near a half or more
-    passed = likely.filter(_tail(F.col("n"), F.col("k"), risk) <= F.lit(delta) / F.col("m"))
-    return passed.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == rule, F.col("cut")), F.when(F.col("rule") == rule, F.col("i"))).alias(f"cut_{rule}") for rule in RULES])
+    counts = labelled.groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("c"))
+    stratum = Window.partitionBy("stratum")
+    strata = labelled.agg(F.countDistinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("null"))).alias("m"))
+    rows = counts.withColumn("n", F.sum("c").over(stratum)).filter("first IS NOT NULL")
+    rows = rows.withColumn("k", F.sum("c").over(stratum.orderBy("first")))
+    none = counts.groupBy("stratum").agg(F.sum("c").alias("n")).select("stratum", F.lit(0).alias("first"), "n", F.lit(0).cast("long").alias("k"))
+    tests = none.union(rows.select("stratum", "first", "n", "k")).join(F.broadcast(strata))  # one row
+    likely = F.col("k") <= F.col("n") * alpha  # beyond, the tail is near a half or more
+    passed = F.when(likely, _tail(F.col("n"), F.when(likely, F.col("k")).otherwise(F.lit(0)), alpha) <= F.lit(delta) / F.col("m")).otherwise(F.lit(False))
+    failed = tests.withColumn("passed", passed).groupBy("stratum").agg(F.min(F.when(~F.col("passed"), F.col("first"))).alias("failed"))
+    return failed.select("stratum", F.greatest(F.coalesce(F.col("failed") - 1, F.lit(len(PATH))), F.lit(0)).alias("steps"))
+
+
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Base counts, base_failed and kept of every document.
+    """Base counts, base_failed and kept of every document; then ``first_step`` and its stratum's ``steps``.
 
     Strata are languages.  Good documents are those labelled quality 1 (the least of several labels
-    of a doc_id; null labels count as none).  A stratum without enough good documents has no cutoff:
-    nothing is rejected there beyond ``base_failed``.  Null or empty text: all counts 0, base_failed.
-    Null lang: a stratum of its own.  Repeated rows: each its own row.  Empty input: empty result.
+    of a doc_id; null labels count as none) that pass the base rule.  A stratum without enough of
+    them (about 144 of four strata at the defaults) has no cutoff: nothing is rejected there beyond
+    ``base_failed``.  Null or empty text: all counts 0, base_failed.  Very long texts: whole, in their
+    row; counts are exact.  Null lang: a stratum of its own.  Repeated rows and doc_ids: each its own
+    row.  A rate equal to a cutoff passes it.  Other columns are not read, so none clashes.  Empty
+    input: empty result.
     """
-    counts = materialize(base_counts(docs).withColumnRenamed("lang", "stratum"), "quality")
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("good_id")).agg(F.min("quality").alias("q")).filter("q = 1")
-    cuts = certified_cutoffs(counts.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"), alpha, delta)
-    full = null_safe_join(counts, cuts, ["stratum"], "left")
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    beyond = F.lit(False)
-    for rule, (rate, way, _) in RULES.items():
-        cut = F.col(f"cut_{rule}")
-        beyond = beyond | F.coalesce(F.expr(rate) > cut if way > 0 else F.expr(rate) < cut, F.lit(False))
-    return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))
+    with scratch(docs.sparkSession):
+        counts = base_counts(docs).withColumnRenamed("lang", "stratum")
+        counts = counts.withColumns({"base_failed": F.expr(BASE_FAILED), "first": F.expr(first_step())})
+        counts = materialize(counts, "quality", keep=True)
+        good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("good_id")).agg(F.min("quality").alias("q")).filter("q = 1")
+        labelled = counts.filter("NOT base_failed").join(good, F.col("doc_id") == F.col("good_id"), "left_semi").select("stratum", "first")
+        steps = materialize(certified_steps(labelled, alpha, delta), "steps", keep=True)
+    full = null_safe_join(counts, steps, ["stratum"], "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
+    beyond = F.coalesce(F.col("first") <= F.col("steps"), F.lit(False))
+    return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"), F.col("first").alias("first_step"), "steps")
 
 
 def judge_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """DuckDB SQL for the rows of ``judge`` over documents and labels."""
-    risk = alpha / len(RULES)
-    sql = lambda e: e.replace("as double", "AS DOUBLE")
-    values = ", ".join(f"('{rule}', {i}, {c}::DOUBLE, {way})" for rule, (_, way, cuts) in RULES.items() for i, c in enumerate(cuts))
-    rates = " ".join(f"WHEN '{rule}' THEN {sql(rate)}" for rule, (rate, _, _) in RULES.items())
-    cut = lambda rule: f"max_by(cut, i) FILTER (rule = '{rule}') AS cut_{rule}"
-    beyond = " OR ".join(f"coalesce({sql(rate)} {'>' if way > 0 else '<'} cut_{rule}, false)" for rule, (rate, way, _) in RULES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT uid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -128,16 +148,15 @@ c AS (SELECT d.doc_id, d.lang AS stratum, len(w.w)::BIGINT AS n_words, length(ar
        len(regexp_extract_all(d.t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.dup, 0)::BIGINT AS n_dup_lines,
        coalesce(ln.n_lines, 0)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (uid) LEFT JOIN ln USING (uid) LEFT JOIN rep USING (uid)),
-good AS (SELECT c.* FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
-tests(rule, i, cut, way) AS (VALUES {values}),
-k AS (SELECT stratum, rule, i, cut, count(*) AS n,
-       count(*) FILTER (CASE WHEN way > 0 THEN CASE rule {rates} END > cut ELSE CASE rule {rates} END < cut END) AS k
-      FROM good CROSS JOIN tests GROUP BY ALL),
-m AS (SELECT *, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM good) * (SELECT count(*) FROM tests) AS m FROM k WHERE k <= n * {risk!r}),
-passed AS (SELECT * FROM m WHERE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-       + j * ln({risk!r}) + (n - j) * ln(1 - {risk!r})))) <= {delta!r} / m),
-cuts AS (SELECT stratum, {", ".join(map(cut, RULES))} FROM passed GROUP BY stratum),
-f AS (SELECT c.*, cuts.* EXCLUDE (stratum), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-      FROM c LEFT JOIN cuts ON c.stratum IS NOT DISTINCT FROM cuts.stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept FROM f
+f AS (SELECT *, {BASE_FAILED} AS base_failed, {first_step("DOUBLE")}::INT AS first_step FROM c),
+good AS (SELECT * FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+n AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
+tests AS (SELECT n.stratum, s AS step, n.n, (SELECT count(*) FROM good g WHERE g.stratum IS NOT DISTINCT FROM n.stratum AND g.first_step <= s) AS k, (SELECT count(*) FROM n) AS m
+          FROM n, range(0, {len(PATH) + 1}) t(s)),
+passed AS (SELECT *, k <= n * {alpha!r} AND list_sum(list_transform(range(0, least(k, ceil(n * {alpha!r})::BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+       + j * ln({alpha!r}) + (n - j) * ln(1 - {alpha!r})))) <= {delta!r} / m AS ok FROM tests),
+steps AS (SELECT stratum, greatest(coalesce(min(step) FILTER (NOT ok) - 1, {len(PATH)}), 0)::INT AS steps FROM passed GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(first_step <= steps, false) AS kept, first_step, coalesce(steps, 0) AS steps
+FROM f LEFT JOIN steps ON f.stratum IS NOT DISTINCT FROM steps.stratum
 """
