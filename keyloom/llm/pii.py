@@ -1,9 +1,18 @@
-"""Personal data: exact base patterns, then bootstrapped contextual extraction."""
+"""Personal data: exact base patterns, then bootstrapped contextual extraction.
+
+Seed entities induce lexical patterns (what stands left and right of them, and their shape); a graph of
+patterns and instances is scored in rounds; trusted patterns find identifiers that no base pattern
+knows.  A pattern is contradicted by instances that fail a check, and by ordinary words that stand in
+its context.
+"""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +33,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}(?![A-Za-z0-9])")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*")
-_BEFORE = re.compile(r"([^\W\d_]+)([^\w\n]{0,4})\Z")
+_ORDINARY = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -68,68 +77,183 @@ def _shape(token: str) -> str:
     return ("a" if any(c.isalpha() for c in token) else "") + "9" + ("-" if "-" in token or "_" in token else "")
 
 
-def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, instance, pattern, seed) of entities and identifier-like tokens with a word before them.
+def _named(s: str) -> str:
+    """``s``, or the digest of all of it if it is long."""
+    return s if len(s) <= 64 else hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _before(text: str, at: int) -> tuple[str, int]:
+    """(what stands left of ``at``, its start): a word in lower case with up to four marks after it,
+    ``^`` at a line's start, ``#`` after something with a digit; empty for anything else."""
+    j = at
+    while j and at - j < 4 and text[j - 1] != "\n" and not (text[j - 1].isalnum() or text[j - 1] == "_"):
+        j -= 1
+    if not j or text[j - 1] == "\n":
+        return "^", j
+    k = j
+    while k and text[k - 1].isalpha():
+        k -= 1
+    if k and (text[k - 1].isalnum() or text[k - 1] == "_"):
+        return "#" + text[j:at], k
+    return (_named(text[k:j].lower()) + text[j:at], k) if k < j else ("", k)
+
+
+def _after(text: str, at: int) -> str:
+    """The marks and the word right of ``at``, in lower case; empty if no whole word is there."""
+    j = at
+    while j < len(text) and j - at < 4 and text[j] != "\n" and not (text[j].isalnum() or text[j] == "_"):
+        j += 1
+    k = j
+    while k < len(text) and text[k].isalpha():
+        k += 1
+    if k == j or k < len(text) and (text[k].isalnum() or text[k] == "_"):
+        return ""
+    return text[at:j] + _named(text[j:k].lower())
+
+
+def contexts(text: str, a: int, b: int) -> list[str]:
+    """What characters ``a`` to ``b`` of ``text`` stand in: one word before, two words before, and what is on both sides."""
+    left, k = _before(text, a)
+    right = _after(text, b)
+    out = []
+    if left and left[0] not in "^#":
+        out.append(f"1\x1f{left}")
+        if further := _before(text, k)[0]:
+            out.append(f"2\x1f{further}\x1f{left}")
+    if left and right:
+        out.append(f"3\x1f{left}\x1f{right}")
+    return out
+
+
+def _trigger(context: str) -> str:
+    """The word without which a context cannot occur: the one before, else the one after."""
+    kind, *parts = context.split("\x1f")
+    part = parts[1] if kind == "2" else parts[0] if parts[0][0] not in "^#" else parts[1]
+    return re.sub(r"^\W+|\W+$", "", part)
 
-    Identifier-like: six characters or more of letters, digits, ``_`` and inner ``-``, with two digits
-    at least.  A pattern is the word before in lower case, what stands between, and the shape.
+
+def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, list[str], str, bool]]:
+    """(start, end, instance, contexts, shape, seed) of entities and of identifier-like tokens outside them.
+
+    Identifier-like: six characters or more of letters, digits, ``_`` and inner ``-``, with a digit or a
+    ``_``.  An instance is the token, or the digest of a long one.  One pass: spans are sorted.
     """
-    out, taken = [], [(a, b) for _, a, b in base]
-    secrets = [m.span() for m in _SECRET.finditer(text)] if len(text) >= 32 else []
-    taken += secrets
-    for a, b, seed in [*((a, b, True) for a, b in taken), *((m.start(), m.end(), False) for m in _CANDIDATE.finditer(text) if m.end() - m.start() >= 6 and sum(c.isdigit() for c in m[0]) >= 2)]:
-        if not seed and any(a < y and x < b for x, y in taken):
-            continue
-        if m := _BEFORE.search(text, max(0, a - 40), a):
-            out.append((a, b, text[a:b][:128], f"{m[1].lower()}{m[2]}|{_shape(text[a:b])}", seed))
-    return out
+    taken = sorted([(a, b) for _, a, b in base] + ([m.span() for m in _SECRET.finditer(text)] if len(text) >= 32 else []))
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    spans = [(a, b, True) for a, b in taken]
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        if b - a >= 6 and ("_" in m[0] or any("0" <= c <= "9" for c in m[0])):
+            i = bisect.bisect_left(starts, b)
+            if not i or ends[i - 1] <= a:
+                spans.append((a, b, False))
+    return [(a, b, _named(text[a:b]), found, _shape(text[a:b]), seed) for a, b, seed in spans if (found := contexts(text, a, b))]
+
+
+def ordinary(text: str, wanted: frozenset[str] | None, triggers: frozenset[str]) -> Counter[str]:
+    """How often an ordinary word (letters alone) stands in each context, of those ``wanted`` or of all."""
+    found: Counter[str] = Counter()
+    if wanted is None:
+        for m in _ORDINARY.finditer(text):
+            found.update(contexts(text, *m.span()))
+        return found
+    words = list(map(str.lower, _ORDINARY.findall(text)))
+    if triggers.isdisjoint(words) and max(map(len, words), default=0) <= 64:
+        return found
+    words, spots = list(map(_named, words)), [m.span() for m in _ORDINARY.finditer(text)]
+    for i, (a, b) in enumerate(spots):
+        if i and words[i - 1] in triggers or i + 1 < len(words) and words[i + 1] in triggers:
+            found.update(c for c in contexts(text, a, b) if c in wanted)
+    return found
 
 
 #: A run of as many digits as a card has that fails the check digit: what the scan itself contradicts.
 CONTRARY = "instance RLIKE '^[0-9](-?[0-9]){13,18}$' AND NOT luhn_check(replace(instance, '-', ''))"
-_MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_())])
+_MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("contexts", pa.list_(pa.string())), ("shape", pa.string()), ("seed", pa.bool_())])
 _SPAN = pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())])
+#: Contexts or patterns up to which they go to all executors (some 10 MB); beyond, tables are joined.  The rows are the same.
+SENT = 100_000
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scanned rows, their mentions, and the patterns that the last round trusts."""
-    schema = "doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:long,k:int,end:long>>, mentions array<struct<start:long,end:long,instance:string,pattern:string,seed:boolean>>"
-    rows = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scan, schema), "pii")
-    graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
-    graph = graph.withColumn("contrary", ~F.col("seed") & F.expr(CONTRARY))
+def _rounds(graph: DataFrame, rounds: int, least_score: float, least_support: int) -> DataFrame:
+    """(context, pattern, score) of the patterns that the last round trusts."""
     confident = graph.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0))
     for _ in range(rounds):
         known = graph.join(confident, "instance", "left").withColumn("conf", F.when(F.col("seed"), 1.0).when(F.col("contrary"), 0.0).otherwise(F.col("conf")))
-        scored = known.groupBy("pattern", "instance").agg(F.max("conf").alias("c"))  # null: neither confirmed nor contradicted
-        patterns = scored.groupBy("pattern").agg((F.sum("c") / (F.count("c") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
-        good = materialize(patterns.filter((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("pattern", "score"), "patterns")
-        trusted = graph.join(good, "pattern").groupBy("instance").agg(F.max("score").alias("conf"))
+        scored = known.groupBy("context", "pattern", "instance").agg(F.max("conf").alias("c"))  # null: neither confirmed nor contradicted
+        patterns = scored.groupBy("context", "pattern").agg((F.sum("c") / (F.count("c") + 1)).alias("score"), F.count_if(F.col("c") >= least_score).alias("support"))
+        good = materialize(patterns.filter((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("context", "pattern", "score"), "patterns")
+        trusted = graph.join(good, ["context", "pattern"]).groupBy("instance").agg(F.max("score").alias("conf"))
         seeds = graph.filter("seed").select("instance", F.lit(1.0).alias("conf"))
         confident = trusted.union(seeds).groupBy("instance").agg(F.max("conf").alias("conf"))
-    return rows, graph, good
+    return good
+
 
+def _idle(docs: DataFrame, contexts_: DataFrame, sent: int) -> DataFrame:
+    """(context, idle): the ordinary words of all texts that stand in each of ``contexts_(context)``."""
+    few = [r[0] for r in contexts_.limit(sent + 1).collect()]
+    wanted = frozenset(few) if len(few) <= sent else None
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, frozenset(map(_trigger, wanted or ()))))
 
-def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for text in batch.column("text"):
+                found.update(ordinary(text.as_py() or "", *shared.value))
+                if len(found) > 200_000:
+                    yield pa.RecordBatch.from_pydict({"context": list(found), "n": list(found.values())})
+                    found = Counter()
+            if found:
+                yield pa.RecordBatch.from_pydict({"context": list(found), "n": list(found.values())})
+
+    counts = docs.select("text").mapInArrow(count, "context string, n long").groupBy("context").agg(F.sum("n").alias("idle"))
+    return contexts_.join(counts, "context", "left").select("context", F.coalesce("idle", F.lit(0)).alias("idle"))
+
+
+def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int, least_share: float, sent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scanned rows, their mentions (a row a context), and the patterns that the last round trusts."""
+    schema = "doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:long,k:int,end:long>>, mentions array<struct<start:long,end:long,instance:string,contexts:array<string>,shape:string,seed:boolean>>"
+    rows = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scan, schema), "pii", keep=True)
+    graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
+    graph = graph.withColumn("contrary", ~F.col("seed") & F.expr(CONTRARY)).withColumn("context", F.explode("contexts")).drop("contexts")
+    graph = graph.withColumn("pattern", F.concat("context", F.lit("\x1e"), "shape"))
+    # ordinary words can only take trust away, so they are counted in contexts that would have it without them
+    at_best = _rounds(graph, rounds, least_score, least_support).select("context").distinct()
+    idle = _idle(docs, at_best, sent)
+    used = graph.join(at_best, "context", "left_semi").groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    open_ = materialize(used.join(idle, "context").filter(F.col("n") >= least_share * (F.col("n") + F.col("idle"))).select("context"), "open")
+    good = _rounds(graph.join(open_, "context", "left_semi"), rounds, least_score, least_support)
+    return rows, graph, materialize(good, "trusted", keep=True)
+
+
+def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5, least_share: float = 0.5, sent: int = SENT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and ``found`` (array of start, k, end).
 
     Base entities and long hexadecimal secrets are the seeds.  Their mentions and those of
-    identifier-like tokens make a graph of patterns (the word before and the token's shape) and
-    instances (the token); Spark scores it for ``rounds`` rounds: a pattern by the mean confidence of
-    its confirmed and contradicted instances (one pseudo-instance of 0 added), if ``least_support``
+    identifier-like tokens make a graph of patterns and instances.  A pattern is a context (the word
+    before; two words before; what stands on both sides) with the token's shape, an instance the
+    token.  Spark scores the graph for ``rounds`` rounds: a pattern by the mean confidence of its
+    confirmed and contradicted instances (one pseudo-instance of 0 added), if ``least_support``
     different instances confirm it, and an instance by its best pattern.  Confirmed are seeds and
     instances of trusted patterns, contradicted are card numbers that fail their check digit; an
-    instance that is neither says nothing about its pattern, however many there are.  Mentions of patterns of ``least_score`` or more get the
-    kind ``context``; secrets get ``secret``.  Base spans are never changed.
+    instance that is neither says nothing about its pattern.  Negative evidence is that a context holds
+    ordinary words: entities and candidates must be ``least_share`` of what stands in it, over all
+    texts.  Mentions of trusted patterns get the kind ``context``; secrets get ``secret``.  Base spans
+    are never changed.
 
     Only mentions (a few a document) are shuffled, with partial aggregation by pattern and instance.
-    Null or empty text: no spans.  Repeated rows and doc_ids: each its own row.  Empty input: empty result.
+    Null or empty text: no spans.  Very long texts, words and identifiers: whole, each step linear in
+    them.  Repeated rows and null or repeated doc_ids: each its own row; instances count once however
+    often they repeat.  Overlapping spans of several kinds all stay.  Other columns are not read, so
+    none clashes.  Empty input: empty result.
     """
-    rows, graph, good = _graph(docs, rounds, least_score, least_support)
-    new = graph.filter("NOT seed").join(good, "pattern", "left_semi")
+    with scratch(docs.sparkSession):
+        rows, graph, good = _graph(docs, rounds, least_score, least_support, least_share, sent)
+    new = graph.filter("NOT seed").join(good, ["context", "pattern"], "left_semi").select("uid", "start", "end").distinct()
     new = new.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("context")).alias("k"), "end")).alias("more"))
     full = rows.drop("mentions").join(new, "uid", "left")
     empty = F.array().cast("array<struct<start:long,k:int,end:long>>")
@@ -150,7 +274,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.append(sum(x[0] == kind for x in base))
             columns[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
             columns[5].append([{"start": a, "k": KINDS.index(k), "end": b} for k, a, b in base + secrets])
-            columns[6].append([dict(zip(("start", "end", "instance", "pattern", "seed"), m, strict=True)) for m in mentions(text, base)])
+            columns[6].append([dict(zip(("start", "end", "instance", "contexts", "shape", "seed"), m, strict=True)) for m in mentions(text, base)])
         types = (*[pa.int64()] * 4, pa.string(), pa.list_(_SPAN), pa.list_(_MENTION))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "uid", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "own", "mentions"])
 
@@ -170,16 +294,13 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Trusted patterns up to which they go to all executors (some 10 MB); beyond, spans are joined to rows.
-SENT_PATTERNS = 100_000
-
-
-def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5, sent: int = SENT_PATTERNS) -> DataFrame:
+def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_support: int = 5, least_share: float = 0.5, sent: int = SENT) -> DataFrame:
     """``docs``, all columns, with the found spans of each text replaced; n_chars follows, if there is one.
 
     The trusted patterns are counted; up to ``sent`` of them are broadcast and a second scan redacts
     each text where it is, else texts and spans meet by row number.  The rows are the same.  Texts
-    without spans, null and empty texts stay as they are; repeated doc_ids are no matter.
+    without spans, null and empty texts stay as they are; repeated doc_ids are no matter; other columns
+    pass unread, whatever their names but ``__row``, ``__hit`` and ``__found``.  Empty input: empty result.
     """
     columns = list(docs.columns)
 
@@ -194,7 +315,7 @@ def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
 
     with scratch(docs.sparkSession):
         narrow = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
-        good = _graph(narrow, rounds, least_score, least_support)[2]
+        good = _graph(narrow, rounds, least_score, least_support, least_share, sent)[2]
         trusted = {r[0] for r in good.select("pattern").limit(sent + 1).collect()}
     if len(trusted) <= sent:
         patterns = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
@@ -204,7 +325,7 @@ def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
             base = base_spans(text)
             more = [("secret", *m.span()) for m in _SECRET.finditer(text)] if len(text) >= 32 else []
             if patterns.value:
-                more += [("context", a, b) for a, b, _, pattern, seed in mentions(text, base) if not seed and pattern in patterns.value]
+                more += [("context", a, b) for a, b, _, found, shape, seed in mentions(text, base) if not seed and any(f"{c}\x1e{shape}" in patterns.value for c in found)]
             return [(a, b, kind) for kind, a, b in base + more]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +334,8 @@ def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
 
         return docs.mapInArrow(scan, docs.schema)
 
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    hits = extract(numbered.select(F.col("__row").alias("doc_id"), "text"), rounds, least_score, least_support)
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", keep=True)
+    hits = extract(numbered.select(F.col("__row").alias("doc_id"), "text"), rounds, least_score, least_support, least_share, sent)
     hits = hits.filter(F.size("found") > 0).select(F.col("doc_id").alias("__hit"), F.col("found").alias("__found"))
     joined = numbered.join(hits, F.col("__row") == F.col("__hit"), "left")
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -34,6 +36,139 @@ def test_long_runs_are_linear():
         pii.base_spans(text)
 
 
+def brute_contexts(text, a, b):
+    """By regular expressions over the text before and after."""
+    mark = r"[^\w\n]"
+
+    def left(at):
+        s = text[:at]
+        if m := re.search(rf"(?:\A|(?<=\n))({mark}{{0,4}})\Z", s):
+            return "^", m.start()
+        if m := re.search(rf"(?<!\w)([^\W\d_]+)({mark}{{0,4}})\Z", s):
+            return m[1].lower() + m[2], m.start()
+        if m := re.search(rf"[\d_]([^\W\d_]*)({mark}{{0,4}})\Z", s):
+            return "#" + m[2], m.start(1)
+        return "", 0
+
+    one, k = left(a)
+    m = re.match(rf"({mark}{{0,4}})([^\W\d_]+)(?!\w)", text[b:])
+    right = m[1] + m[2].lower() if m else ""
+    out = []
+    if one and one[0] not in "^#":
+        out.append(("1", one))
+        if left(k)[0]:
+            out.append(("2", left(k)[0], one))
+    if one and right:
+        out.append(("3", one, right))
+    return ["\x1f".join(x) for x in out]
+
+
+WORDY = st.lists(st.sampled_from(["call", "Ann", "x", "é", "7", "a1", "_", " ", " ", ": ", ", ", "\n", "-", "(", "....", ".....", "us4r_9", "the"]), max_size=14).map("".join)
+
+
+@settings(max_examples=800, deadline=None)
+@given(WORDY, st.integers(0, 30), st.integers(0, 12))
+def test_contexts_are_the_patterns(text, a, n):
+    a = min(a, len(text))
+    b = min(a + n, len(text))
+    assert pii.contexts(text, a, b) == brute_contexts(text, a, b)
+
+
+@settings(max_examples=500, deadline=None)
+@given(WORDY)
+def test_ordinary_words_are_counted_alike_with_and_without_a_list(text):
+    everything = pii.ordinary(text, None, frozenset())
+    brute_ = Counter(c for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text) for c in brute_contexts(text, *m.span()))
+    assert everything == brute_
+    wanted = frozenset(list(everything)[::2])
+    assert pii.ordinary(text, wanted, frozenset(map(pii._trigger, wanted))) == {c: n for c, n in everything.items() if c in wanted}
+
+
+def brute_trusted(texts, rounds=3, score=0.8, support=5, share=0.5):
+    """Patterns that the graph trusts, scored in plain Python."""
+    found, idle = [], Counter()
+    for t in texts:
+        for a, b, _, names, shape, seed in pii.mentions(t, brute(t)):
+            found += [(c, shape, t[a:b], seed) for c in names]
+        for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", t):
+            idle.update(brute_contexts(t, *m.span()))
+    used = Counter(c for c, *_ in found)
+    found = [x for x in found if used[x[0]] >= share * (used[x[0]] + idle[x[0]])]
+    contrary = lambda x: bool(re.fullmatch(r"[0-9](-?[0-9]){13,18}", x)) and not pii.luhn(x.replace("-", ""))
+    seeds = {x for _, _, x, s in found if s}
+    confident, good = dict.fromkeys(seeds, 1.0), {}
+    for _ in range(rounds):
+        by = {}
+        for c, shape, x, s in found:
+            v = 1.0 if s else 0.0 if contrary(x) else confident.get(x)
+            if v is not None:
+                by.setdefault((c, shape), {})[x] = max(v, by.get((c, shape), {}).get(x, 0.0))
+        good = {p: sum(v.values()) / (len(v) + 1) for p, v in by.items() if sum(y >= score for y in v.values()) >= support}
+        good = {p: v for p, v in good.items() if v >= score}
+        confident = dict.fromkeys(seeds, 1.0)
+        for c, shape, x, _ in found:
+            if (c, shape) in good:
+                confident[x] = max(confident.get(x, 0.0), good[c, shape])
+    return good
+
+
+def brute_spans(text, good):
+    base = brute(text)
+    own = base + [("secret", *m.span()) for m in pii._SECRET.finditer(text)]
+    own += [("context", a, b) for a, b, _, names, shape, seed in pii.mentions(text, base) if not seed and any((c, shape) in good for c in names)]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(own, key=lambda x: (x[1], pii.KINDS.index(x[0]))))
+
+
+@pytest.mark.parametrize("sent", [pii.SENT, 1])
+def test_the_graph_is_that_of_plain_python(spark, sent):
+    r = random.Random(11)
+    texts = [t for _, t in corpus()]
+    for i in range(160):  # chains of patterns: handles stand where mails do, and again behind another label
+        name = f"user{i % 40}x"
+        texts.append(f"{prose(i, 8)} reach {name if i % 3 else f'u{i}@h{i % 9}.org'} today {prose(i, 3)} alias {name if i % 2 else f'nick{r.randrange(99)}q9'}, {prose(i + 9, 4)}")
+        texts.append(f"the {r.choice(['cat', 'dog', f'b{i}c@d.net', f'ab{i}cd9'])} of {prose(i, 6)}\n{i % 7}x{i}zz9 ends; # 41111111{i:08d} {prose(i, 2)}")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    good = brute_trusted(texts)
+    assert {c.split("\x1f")[0] for c, _ in good} >= {"1", "3"}
+    got = {x["doc_id"]: x["spans"] for x in pii.extract(docs, sent=sent).collect()}
+    assert got == {i: brute_spans(t, good) for i, t in enumerate(texts)}
+    assert sum("context:" in x for x in got.values()) > 40
+
+
+def test_a_common_word_before_a_few_seeds_is_no_pattern(spark):
+    rows = [(i, f"{prose(i, 5)} the u{i}@h.org {prose(i, 9)} the river and the stone of the hill", "en", "s", 1) for i in range(9)]
+    rows += [(100 + i, f"{prose(i, 5)} the model{i}x9 {prose(i, 4)}", "en", "s", 1) for i in range(9)]
+    assert not [x for x in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect() if "context" in x["spans"]]
+
+
+def test_right_context_and_line_starts(spark):
+    rows = [(i, f"{prose(i, 9)}\nu{i}@h{i}.org wrote {prose(i, 9)}\n{prose(i + 50, 4)}", "en", "s", 1) for i in range(20)]
+    rows += [(100 + i, f"{prose(i, 9)}\nannabel{i}q wrote {prose(i, 9)}", "en", "s", 1) for i in range(9)]
+    got = {x["doc_id"]: x["spans"] for x in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(("context" in v) == (i >= 100) for i, v in got.items())
+
+
+def test_long_contexts_and_identifiers_are_whole(spark):
+    word = "w" * 500
+    same = "a1" * 100
+    rows = [(i, f"x {word} u{i}@h{i}.org y", "en", "s", 1) for i in range(9)] + [(50, f"x {word} zz9qq8 y", "en", "s", 1), (51, f"x {word[:-1]} zz9qq7 y", "en", "s", 1)]
+    got = {x["doc_id"]: x["spans"] for x in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "context" in got[50] and "context" not in got[51]
+    names = [f"{same}{i}" for i in range(3)]  # alike in their first 200 characters
+    assert len({pii._named(x) for x in names}) == 3
+
+
+def test_many_spans_in_one_text_are_linear():
+    def took(n):
+        text = " ".join(f"mail u{i}@h.org id{10_000 + i}x7 is" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.mentions(text, pii.base_spans(text))) == 2 * n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 12 * max(took(4_000), 0.01)
+
+
 def corpus():
     r = random.Random(3)
     rows = []
