@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, distributed_rank, materialize, null_safe_join, scratch
 
-#: Offsets that a source chooses from.
-OFFSETS = 16
-
 
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
@@ -52,8 +49,10 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     prefix sum crosses.  Ranking by size makes the words taken follow the target to within about
     one of the largest documents.  Reruns agree.  Ranks are distributed (see ``distributed_rank``).
 
-    Null text: size 0, taken 0.  Null source: a source of its own, last.  Sources of size 0 get
-    target 0 and no copies.  Repeated doc_ids are documents of their own.  Empty input: empty result.
+    Null or empty text: size 0, taken 0.  Null source: a source of its own, last.  Sources of size 0
+    get target 0 and no copies.  Very long texts: whole, one document each.  Repeated doc_ids and rows
+    are documents of their own.  Ties in size follow a digest of doc_id; rows that tie there too are
+    alike.  Other columns are not read, so none clashes.  Empty input: empty result.
     """
     with scratch(docs.sparkSession):
         return materialize(_mix(docs, size, weights, cap, seed), "mixed", keep=True)
@@ -68,17 +67,11 @@ def _mix(docs: DataFrame, size: Column | None, weights: tuple[int, ...], cap: fl
     start = _fraction(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0null")))))
     targets = targets.withColumn("_rate", F.when(F.col("source_size") > 0, rate).otherwise(0.0)).withColumn("_u", start)
     ranked = distributed_rank(base, ["source"], ["size", "_h", "doc_id", *carried], "_rank")
-    joined = materialize(null_safe_join(ranked, targets, ["source"]), "placed")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor(F.col("_rank") * F.col("_rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("_rate") + offset)
-        return F.least(crossed, F.ceil("_rate")).cast("long")
+    joined = null_safe_join(ranked, targets, ["source"])
 
-    offsets = [(F.col("_u") + F.lit(float(k))) / F.lit(float(OFFSETS)) for k in range(OFFSETS)]
-    sums = joined.groupBy("source").agg(F.max("target").alias("t"), F.max("_u").alias("_u"), *[F.sum(copies(u) * F.col("size")).alias(f"s{k}") for k, u in enumerate(offsets)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(offsets)]))
-    joined = null_safe_join(joined.drop("_u"), sums.select("source", nearest["u"].alias("_offset")), ["source"])
-    joined = joined.withColumn("copies", copies(F.col("_offset")))
+    # one integer boundary crossed, one copy
+    crossed = F.floor(F.col("_rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_u"))
+    joined = joined.withColumn("copies", F.least(crossed, F.ceil("_rate")).cast("long"))
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", *carried).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -86,10 +79,12 @@ def apply_mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, .
     """The mix itself: each document repeated ``copies`` times, with the columns of ``docs``.
 
     Rows are numbered and meet their copies by number, so repeated and null doc_ids are documents of
-    their own here too.
+    their own here too.  Other columns pass unread, whatever their names but ``__mix_...``; odd rows
+    are as for ``mix``.  Texts meet the plan the same way at every size; the built side is unique
+    numbers, dealt evenly by hash.
     """
     size = word_count(docs["text"]) if size is None else size
-    numbered = materialize(docs.withColumns({"__mix_row": F.monotonically_increasing_id(), "__mix_size": size}), "numbered")
+    numbered = materialize(docs.withColumns({"__mix_row": F.monotonically_increasing_id(), "__mix_size": size}), "numbered", keep=True)
     with scratch(docs.sparkSession):
         plan = _mix(numbered, F.col("__mix_size"), weights, cap, seed, ("__mix_row",)).filter("copies > 0")
         plan = materialize(plan.select(F.col("__mix_row").alias("__mix_id"), F.col("copies").cast("int").alias("__mix_copies")), "mixed", keep=True)

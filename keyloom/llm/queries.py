@@ -99,12 +99,7 @@ rk AS (
   SELECT b.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          row_number() OVER (PARTITION BY b.source ORDER BY size, h, doc_id) AS r
   FROM base b JOIN tg t ON b.source IS NOT DISTINCT FROM t.source),
-ks AS (SELECT source, target, k, (u + k) / 16.0::DOUBLE AS o,
-         sum(least(floor(r * rate + (u + k) / 16.0::DOUBLE) - floor((r - 1) * rate + (u + k) / 16.0::DOUBLE), ceil(rate))::BIGINT * size) AS s
-       FROM rk, range(16) t(k) GROUP BY ALL),
-best AS (SELECT source, o FROM ks QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(s - target), k) = 1),
-cp AS (SELECT rk.*, least(floor(r * rate + o) - floor((r - 1) * rate + o), ceil(rate))::BIGINT AS copies
-       FROM rk JOIN best ON rk.source IS NOT DISTINCT FROM best.source)
+cp AS (SELECT rk.*, least(floor(r * rate + u) - floor((r - 1) * rate + u), ceil(rate))::BIGINT AS copies FROM rk)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM cp
 """
 
