@@ -53,16 +53,22 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; one a worker and file."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; one a worker, file and choice.
 
-    _made: dict[str, Encoder] = {}
+    A special token's string in a text gets that token's id, as the library has it by default;
+    ``special_as_text`` takes it as ordinary text.
+    """
+
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: Strings that lower case must not bring about: only as written do they name a token.
+        self.special = [] if special_as_text else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.lower = self.tokenizer.normalizer is not None
         self.model = self.tokenizer.model
@@ -74,10 +80,10 @@ class Encoder:
         self.spans: dict[str, tuple[int, bytes, bytes]] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special_as_text: bool = False) -> Encoder:
+        if (path, special_as_text) not in cls._made:
+            cls._made[path, special_as_text] = cls(path, special_as_text)
+        return cls._made[path, special_as_text]
 
     def _whole(self, text: str) -> bytes:
         return self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -121,7 +127,10 @@ class Encoder:
         if self.lower:
             if _ODD_SPACE.search(text) or not text.isascii() and _NO_LOWER.search(text):
                 return b"".join(map(self._whole, SEGMENT.findall(text)))
-            return b"".join(map(after_space, text.lower().split()))
+            lowered = text.lower()
+            if any(x in lowered for x in self.special):
+                return b"".join(map(self._whole, SEGMENT.findall(text)))
+            return b"".join(map(after_space, lowered.split()))
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
             return b"".join(map(alone, SEGMENT.findall(text)))
         newline, out = alone("\n"), []
@@ -162,7 +171,7 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 # Token files
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 0, folder: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Tokenize ``docs(doc_id, text)`` into Arrow files in ascending doc_id order.
 
     Rows are range-partitioned by doc_id; partition k writes ``shard-k.arrow``, whose record batches
@@ -173,24 +182,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_
     batch i div batch size of the memory-mapped file.  Files are written beside their names and
     renamed, so a retried or speculative task replaces a whole file or none.
 
-    Null or empty text: the end id alone.  Null doc_ids come last; repeated doc_ids and rows are
-    documents of their own, ordered by text.  Empty input: no files.  ``folder`` needs a URI that
-    pyarrow.fs opens on executors; the default is in spark.checkpoint.dir.
+    Null or empty text: the end id alone.  Very long texts: whole, one at a time a worker.  Null
+    doc_ids come last; repeated doc_ids and rows are documents of their own, ordered by a hash of the
+    text, then the text, over all shards.  Other columns are not read, so none clashes.  Empty input:
+    no files.  ``folder`` needs a URI that pyarrow.fs opens on executors; the default is in
+    spark.checkpoint.dir.  The files are the output and stay; only the caller deletes them.
 
     Returns the manifest (shard, path, n_docs, n_tokens), one row a file.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     n = partitions(spark)
-    narrow = docs.select("doc_id", "text")
-    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    dealt = narrow.repartitionByRange(n, *keys).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    keys = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    dealt = narrow.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first()).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, special_as_text)
         dtype = np.dtype("<u2" if encoder.vocab_size <= 1 << 16 else "<u4")
         files = _Shard(folder, shard, seq_len, dtype)
         for batch in batches:
@@ -327,11 +338,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 # Best-fit packing
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents' ids with the end id, cut only beyond ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, special_as_text)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
@@ -418,19 +429,21 @@ def pack_plan(counts: dict[int, int], capacity: int = 4096) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """Best-fit-decreasing packing of all documents into sequences of at most ``capacity`` tokens.
 
     One pass encodes and cuts; the histogram of lengths (at most ``capacity`` rows) goes to the
     driver, which plans for the whole corpus; ranks within a length are distributed, and each piece
     finds its step by binary search in the broadcast plan.  Global best fit, no per-partition bins.
 
-    Null or empty text: a piece of the end id alone.  Repeated rows are packed as often as they come.
-    Empty input: empty result.  Rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Null or empty text: a piece of the end id alone.  Very long texts: cut into pieces, none dropped.
+    Null and repeated doc_ids: each row a document, packed as often as it comes.  Ties in length are
+    ranked by doc_id and piece.  Other columns are not read, so none clashes.  Empty input: empty
+    result.  Rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
     with scratch(spark):
-        cut = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
+        cut = materialize(pieces(docs, tokenizer, capacity, end_id, special_as_text), "pieces")
         ranked = materialize(distributed_rank(cut, ["length"], ["doc_id", "piece"], "_rank"), "ranked", keep=True)
     counts = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(pack_plan(counts, capacity))
@@ -487,20 +500,22 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
     return best
 
 
-def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", sections=line_sections) -> DataFrame:
+def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", sections=line_sections, special_as_text: bool = False) -> DataFrame:
     """Tokens of each section of each document: (doc_id, section, start, end, n_tokens).
 
     Whole texts are encoded once with character offsets; an interval join (binary search of section
     starts, both sides sorted) maps tokens to sections, boundary-crossing ones by ``rule`` (see
     ``attribute``), so the sections of a document always add up to its tokens.  Offsets are code
     points, ``end`` exclusive.  Null or empty text: one section 0 of no characters and no tokens.
-    Repeated rows are counted as often as they come.  No shuffle.
+    Very long texts: whole, one at a time a worker.  Null and repeated doc_ids and repeated rows: each
+    row is counted as often as it comes.  Other columns are not read, so none clashes.  Empty input:
+    empty result.  No shuffle.
     """
     if rule not in ("start", "end", "most"):
         raise ValueError(f"rule must be start, end or most, not {rule}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, special_as_text)
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             ids: list[int | None] = []

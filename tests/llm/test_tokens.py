@@ -12,19 +12,22 @@ from tests.llm.conftest import SCHEMA, prose
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def plain(name):
+def plain(name, special_as_text=None):
+    """The library as it comes, or with its switch set."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
+    if special_as_text is not None:
+        t.encode_special_tokens = special_as_text
     return lambda x: t.encode(x or "", add_special_tokens=False)
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
-def test_cached_encoding_is_the_tokenizers(name):
-    r, whole = random.Random(7), plain(name)
-    e = tokens.Encoder(tokenizer_path(name))
-    chars = [*" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u200b\u3000\u2028", *"aZé'st.!1٣ΣσςİßÀ中,", "'s", "  ", "\n\n", "<|endoftext|>", " don't ", "word", "Éa, b", "ĀB. "]
+@pytest.mark.parametrize("special_as_text", [None, True])
+def test_cached_encoding_is_the_tokenizers(name, special_as_text):
+    r, whole = random.Random(7), plain(name, special_as_text)
+    e = tokens.Encoder(tokenizer_path(name), bool(special_as_text))
+    chars = [*" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u200b\u3000\u2028", *"aZé'st.!1٣ΣσςİßÀ中,", "'s", "  ", "\n\n", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " don't ", "word", "Éa, b", "ĀB. "]
     for k in range(8000):
         s = "".join(r.choice(chars) for _ in range(r.randrange(14)))
         s = s.strip().replace("\t", " ") if k % 2 else s
@@ -34,6 +37,25 @@ def test_cached_encoding_is_the_tokenizers(name):
             assert list(zip(a.tolist(), b.tolist(), strict=True)) == whole(s).offsets
 
 
+def test_special_strings_get_their_ids_through_the_operators(spark):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|ENDOFTEXT|> c", "<|startoftext|>d e"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    for name, end, run in ((BYTE, 0, lambda d, p: tokens.read_token_files(tokens.write_token_files(d, p))), (WORD, 1, tokens.pack)):
+        got = {r["doc_id"]: r["ids_crc32"] for r in run(docs, tokenizer_path(name)).collect()}
+        assert got == {i: zlib.crc32(np.array([*plain(name)(t).ids, end], "<u4").tobytes()) for i, t in enumerate(texts)}
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.section_tokens(docs, tokenizer_path(BYTE)).collect()}
+    assert counts == {i: len(plain(BYTE)(t).ids) for i, t in enumerate(texts)}
+
+
+def test_repeated_ids_are_in_one_order_over_all_shards(spark):
+    rows = [(i % 3 if i % 4 else None, prose(i, 1 + i % 5), "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    whole = plain(BYTE)
+    want = [(r[0], zlib.crc32(np.array([*whole(r[1]).ids, 0], "<u4").tobytes())) for r in sorted(df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect(), key=lambda r: (r[0] is None, r[0] or 0, r[2]))]
+    got = tokens.read_token_files(tokens.write_token_files(df, tokenizer_path(BYTE), seq_len=32)).collect()
+    assert [(r["doc_id"], r["ids_crc32"]) for r in sorted(got, key=lambda r: r["start"])] == want
+
+
 def test_clearing_the_cache_changes_nothing(monkeypatch):
     e, texts = tokens.Encoder(tokenizer_path(BYTE)), [prose(i, 80) for i in range(20)]
     want = [e.ids(t) for t in texts]
@@ -45,7 +67,7 @@ def test_token_files_round_trip(spark, nasty, none, tmp_path):
     manifest = tokens.write_token_files(nasty, tokenizer_path(BYTE), seq_len=64, folder=f"file://{tmp_path}/t")
     got = sorted((tuple(r) for r in tokens.read_token_files(manifest).collect()), key=lambda r: r[1])
     whole = plain(BYTE)
-    rows = sorted(((r["doc_id"], r["text"]) for r in nasty.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [tuple(r)[:2] for r in sorted(nasty.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect(), key=lambda r: (r[0] is None, r[0] or 0, r[2]))]
     at, want, flat = 0, [], []
     for i, t in rows:
         ids = np.array([*whole(t).ids, 0], "<u4")
