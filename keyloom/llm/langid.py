@@ -16,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import materialize, scratch
+
 SIZES = (3, 4)
 HASHES = 3
 CHUNK = 1 << 20
+#: Languages that a model may have: 16 MB of slots for each 64 of them go to all executors.
+LANGUAGES = 1024
 _GAP = re.compile(r"[\W\d_]+")
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -93,15 +97,21 @@ def fit(docs: DataFrame, sample: int = 4000, bits: int = 21, least_rate: float =
     An n-gram enters a language's slice if it makes up ``least_rate`` of the language's n-grams in
     the sample and occurs twice, so a slice holds at most 1/least_rate of them at every input size,
     and the model, 2**bits slots of a bit for each language, is the same size for any corpus.
+
+    The driver sees one row a language and its slice's n-grams; more than ``LANGUAGES`` languages are
+    an error.  Null texts and null langs teach nothing; rows with a null doc_id are in no held-out
+    part.  Repeated rows count as often as they come, all or none of them sampled.  Empty input: a
+    model without languages.
     """
-    spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], bits, [], np.zeros(0), "und")
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / counts[k])))])
-    unit = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unit = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +134,10 @@ def fit(docs: DataFrame, sample: int = 4000, bits: int = 21, least_rate: float =
         yield from out()
 
     grams = rows.filter(unit < share[F.col("lang")]).mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("total", F.sum("n").over(_by_language()))
-    kept = grams.filter((F.col("n") >= 2) & (F.col("n") >= F.col("total") * least_rate)).select("k", "gram").toArrow()  # at most 1/least_rate a language
+    with scratch(docs.sparkSession):
+        grams = materialize(grams, "grams")
+        least = F.create_map(*[x for k, total in grams.groupBy("k").agg(F.sum("n")).collect() for x in (F.lit(k), F.lit(max(2.0, total * least_rate)))] or [F.lit(0), F.lit(2.0)])  # one row a language
+        kept = grams.filter(F.col("n") >= least[F.col("k")]).select("k", "gram").toArrow()  # at most 1/least_rate a language
     k, h = kept.column("k").to_numpy(), kept.column("gram").to_numpy().view(np.uint64)
     dtype = np.uint8 if len(languages) <= 8 else np.uint64
     words = [np.zeros(1 << bits, dtype) for _ in range(-(-len(languages) // 64))]
@@ -138,12 +150,6 @@ def fit(docs: DataFrame, sample: int = 4000, bits: int = 21, least_rate: float =
     return Model(languages, bits, words, rate, min(languages, key=lambda x: (-counts[x], x)))
 
 
-def _by_language():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("k")
-
-
 def held_out():
     """Whether crc32 of the doc_id as text is 2 mod 4; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -155,7 +161,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``score`` is the language's share of all languages' corrected hits, ``known`` the share of the
     text's n-grams in its slice.  Null text or one without letters: ``und``, 0, 0.  Letters but no
     n-gram of any language: the language with most labelled rows, score 0.  Ties: the first language
-    in code-point order.  Repeated rows: each its own row.  No labelled rows: ``und`` for all.
+    in code-point order.  Very long texts: whole, in chunks.  Null doc_ids and repeated rows: each its
+    own row.  No labelled rows: ``und`` for all.  Other columns are not read, so none clashes.  Empty
+    input: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits slots, whatever the corpus
 
@@ -170,7 +178,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least_known: float = 0.02) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language.
 
-    Rejected: ``und``, and texts of which the best language knows less than ``least_known``.
+    Rejected: ``und`` (null and empty texts, texts without letters), and texts of which the best
+    language knows less than ``least_known``.  doc_id and the other columns are not read; each row is
+    judged alone.  Empty input: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

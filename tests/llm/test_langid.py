@@ -1,6 +1,9 @@
+import os
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from keyloom.llm import langid
 from tests.llm.conftest import SCHEMA, prose
@@ -25,6 +28,56 @@ def test_held_out_accuracy_and_reproducibility(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def exact(docs, languages, least_rate=2e-5):
+    """Plain sets of n-grams, no hashes and no filters: the share of each text's n-grams that each language has."""
+    def grams(text):
+        s = langid.normal(text)
+        return [s[i : i + n] for n in langid.SIZES for i in range(len(s) - n + 1)]
+
+    seen = {k: Counter() for k in languages}
+    for r in docs:
+        if r["text"] is not None and r["lang"] in seen and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            seen[r["lang"]].update(grams(r["text"]))
+    kept = {k: {g for g, n in c.items() if n >= max(2, sum(c.values()) * least_rate)} for k, c in seen.items()}
+    out = {}
+    for r in docs:
+        own = grams(r["text"])
+        out[r["doc_id"]] = {k: sum(g in kept[k] for g in own) for k in languages}, len(own)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_same_as_exact_sets_on_overlapping_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    model = langid.fit(docs)
+    want = exact(rows, model.languages)
+    for r in langid.identify(docs, model).collect():
+        hits, n = want[r["doc_id"]]
+        if not n:
+            assert r["lang_pred"] == "und"
+            continue
+        best = sorted(hits.values())
+        if best[-1] - best[-2] > 0.02 * n:
+            assert r["lang_pred"] == max(hits, key=hits.get)
+        if n > 200:
+            assert abs(r["known"] - best[-1] / n) < 0.02
+            assert abs(r["score"] - best[-1] / max(1, sum(best))) < 0.03
+
+
+def test_rows_without_a_doc_id_are_sampled_one_by_one(spark):
+    rows = [(None, f"{prose(i, 6, ALPHABETS['aa'])} u{chr(97 + i % 26)}{chr(97 + i // 26)}q", "aa", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few, all_ = (langid.fit(docs, sample=n).false_rate[0] for n in (100, 400))
+    assert 0 < few < all_
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(corpus(spark))
+
+
 def test_filters_return_all_languages_of_an_ngram():
     words = [np.zeros(1 << 10, np.uint64) for _ in range(2)]
     grams = np.array([5, 77, 1234567], np.uint64)
