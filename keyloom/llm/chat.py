@@ -1,4 +1,9 @@
-"""Chat formatting into budgeted windows."""
+"""Chat formatting into budgeted windows.
+
+A budget counts a tokenizer's tokens of the text written, template and escapes included.  A turn ends
+with a newline and the next begins with ``<``, which no token of a byte-level model spans, so a
+window's tokens are the sum of its turns'.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.tokens import Encoder
+
 OPEN, SHUT = "<|turn|>", "<|end|>"
 #: Strings that steer chat models; none is left whole inside an escaped text.
 CONTROL = (OPEN, SHUT, "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(x) for x in ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")))
 _ESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(SHUT) + r"\n", re.S)
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def escape(text: str) -> str:
@@ -40,9 +46,14 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|n|)", lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def count_tokens(text: str) -> int:
-    """Words and punctuation marks; stands in for a tokenizer's count."""
-    return sum(1 for _ in _TOKEN.finditer(text))
+def written(role: str, text: str) -> tuple[str, str]:
+    """(head, escaped text) of a turn; ``SHUT`` and a newline follow."""
+    return f"{OPEN}{escape_role(role)}\n", escape(text)
+
+
+def tokenizer_count(path: str) -> Callable[[str], int]:
+    """Tokens of a string by a tokenizer file."""
+    return lambda text: len(Encoder.of(path).ids(text)) // 4
 
 
 OUT = "conv_id long, window int, text string, n_repeated int, tokens int, loss array<struct<start:int,end:int>>"
@@ -54,44 +65,44 @@ class _Windows:
 
     def __init__(self, conv_id: int | None, budget: int, history: int, target: str, count: Callable[[str], int]) -> None:
         self.conv_id, self.budget, self.history, self.target, self.count = conv_id, budget, history, target, count
-        self.system: tuple[str, str, int] | None = None
-        self.past: list[tuple[str, str, int]] = []  # repeated turns of the open window
-        self.new: list[tuple[str, str, int]] = []
+        self.system: tuple[str, str, str, int] | None = None  # role, head, escaped text, tokens
+        self.past: list[tuple[str, str, str, int]] = []  # repeated turns of the open window
+        self.new: list[tuple[str, str, str, int]] = []
         self.total = self.before = 0  # prefix sums of turn tokens: now, and where the open window starts
         self.made = self.seen = 0
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, self.count(text) + self.count(role) + 2)
+        head, body = written(role, text)
+        turn = (role, head, body, self.count(f"{head}{body}{SHUT}\n"))
         self.seen += 1
         if self.seen == 1 and role == "system":
             self.system = turn
             self.new.append(turn)
             return
-        fixed = (self.system[2] if self.system else 0) + sum(x[2] for x in self.past)
-        if any(x is not self.system for x in self.new) and fixed + self.total + turn[2] - self.before > self.budget:
+        fixed = (self.system[3] if self.system else 0) + sum(x[3] for x in self.past)
+        if any(x is not self.system for x in self.new) and fixed + self.total + turn[3] - self.before > self.budget:
             done = [x for x in self.past + self.new if x is not self.system]
             yield self.close()
-            room = min(self.history, self.budget - (self.system[2] if self.system else 0) - turn[2])
+            room = min(self.history, self.budget - (self.system[3] if self.system else 0) - turn[3])
             self.past = []
             for x in reversed(done):
-                room -= x[2]
+                room -= x[3]
                 if room < 0:
                     break
                 self.past.insert(0, x)
             self.before = self.total
         self.new.append(turn)
-        self.total += turn[2]
+        self.total += turn[3]
 
     def close(self) -> tuple:
         again = ([self.system] if self.system and self.made else []) + self.past
         out, spans, at = [], [], 0
-        for i, (role, text, _) in enumerate(again + self.new):
-            head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
+        for i, (role, head, body, _) in enumerate(again + self.new):
             if i >= len(again) and role == self.target and body:
                 spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
             out.append(f"{head}{body}{SHUT}\n")
             at += len(out[-1])
-        row = (self.conv_id, self.made, "".join(out), len(again), sum(x[2] for x in again + self.new), spans)
+        row = (self.conv_id, self.made, "".join(out), len(again), sum(x[3] for x in again + self.new), spans)
         self.made, self.new = self.made + 1, []
         return row
 
@@ -101,19 +112,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["conv_id", "window", "text", "n_repeated", "tokens", "loss"])
 
 
-def format_windows(turns: DataFrame, budget: int = 512, history: int = 128, target: str = "assistant", count: Callable[[str], int] = count_tokens) -> DataFrame:
+def format_windows(turns: DataFrame, count: Callable[[str], int], budget: int = 512, history: int = 128, target: str = "assistant") -> DataFrame:
     """Format conversations as windows of whole turns within a token budget.
 
-    ``turns`` has conv_id, turn, role, text.  Prefix sums of turn tokens cut each conversation where
-    the system turn, the repeated history and the new turns would pass ``budget``; a longer turn has
-    a window of its own.  Each window repeats the system turn (a conversation's first turn of role
+    ``turns`` has conv_id, turn, role, text; ``count`` gives the tokens of a written turn (see
+    ``tokenizer_count``).  Prefix sums of turn tokens cut each conversation where the system turn, the
+    repeated history and the new turns would pass ``budget``; a turn that is longer alone has a window
+    of its own, whole.  Each window repeats the system turn (a conversation's first turn of role
     ``system``) and the last whole turns before it within ``history`` tokens; repeated turns carry
     no loss, so each ``target`` text is under the loss mask once over all windows.  Texts and roles
     are escaped, so no control string in them survives, and ``parse`` restores them.
 
     Turns of a conversation stream through one task that holds one window, however many there are.
-    Null text or role: empty.  Null conv_id: a conversation of its own.  Equal turn numbers: ordered
-    by role, then text; repeated rows are turns of their own.  Empty input: no windows.
+    Null text or role: empty.  Null conv_id: a conversation of its own.  Null turn: before all others.
+    Equal turn numbers: ordered by role, then text; repeated rows are turns of their own.  Other
+    columns are not read, so none clashes.  Empty input: no windows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -144,8 +157,10 @@ def parse(text: str) -> list[tuple[str, str]]:
 def digest(windows: DataFrame, target: str = "assistant") -> DataFrame:
     """What each conversation's windows say, read back from their text and loss spans alone.
 
-    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows).  Windows of
-    a conversation stream through one task in order; the digests need no more than one of them.
+    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows), the last
+    two over all windows, repeated turns included.  Windows of a conversation stream through one task
+    in order, since a digest is sequential; a task holds one of them.  Null conv_id: a conversation of
+    its own.  Other columns are not read, so none clashes.  Empty input: empty result.
     """
     rows = windows.select("conv_id", "window", "text", "n_repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
 

@@ -37,7 +37,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.digest(materialize(chat.format_windows(turns.union(extra)), "windows"))
+    count = chat.tokenizer_count(tokenizer_path("byte_bpe_50k.json"))
+    return chat.digest(materialize(chat.format_windows(turns.union(extra), count), "windows", keep=True))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,18 @@
 import hashlib
+import os
 import random
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from keyloom.llm import chat
+from keyloom.llm.queries import op4_chat_format, tokenizer_path
 
+COUNT = chat.tokenizer_count(tokenizer_path("byte_bpe_50k.json"))
+TOKENIZER = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
@@ -32,7 +39,7 @@ def test_escaping_is_reversible_and_leaves_no_control_string(text):
 def test_round_trip_budget_history_and_masks(spark):
     r = random.Random(2)
     rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], " ".join(["word", "</s>", "<|end|>", "\\n", "x"][r.randrange(5)] for _ in range(r.randrange(60)))) for c in range(12) for t in range(r.randrange(1, 40))]
-    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=120, history=40).cache()
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), COUNT, budget=220, history=70).cache()
     got = {x["conv_id"]: tuple(x)[1:5] for x in chat.digest(windows).collect()}
     assert got == expected(rows)
     held = {}
@@ -42,8 +49,8 @@ def test_round_trip_budget_history_and_masks(spark):
         system = any(x[0] == w["conv_id"] and x[1] == 0 and x[2] == "system" for x in rows)
         if system:
             assert turns[0][0] == "system"
-        cost = sum(chat.count_tokens(t) + chat.count_tokens(s) + 2 for s, t in turns)
-        assert cost == w["tokens"] and (cost <= 120 or len(new) == 1 + (w["window"] == 0 and system))
+        cost = len(TOKENIZER.encode(w["text"], add_special_tokens=False).ids)  # of the text as written
+        assert cost == w["tokens"] and (cost <= 220 or len(new) == 1 + (w["window"] == 0 and system))
         history = turns[system : w["n_repeated"]] if w["window"] else []
         before = held.get(w["conv_id"], [])
         assert history == before[len(before) - len(history) :]
@@ -55,5 +62,25 @@ def test_nulls_ties_and_empty(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, None, "a"), (1, 0, "assistant", None), (1, None, "assistant", "b"), (None, 3, "user", "c"), (2, 1, "assistant", "dup"), (2, 1, "assistant", "dup"), (3, 0, "as\nsist\\n", "x" * 20_000), (4, 0, "system", "only")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS window", "2 AS loss", "'z' AS formatted_chars")
-    assert {x["conv_id"]: tuple(x)[1:5] for x in chat.digest(chat.format_windows(df)).collect()} == expected(rows)
-    assert chat.digest(chat.format_windows(df.limit(0))).count() == 0
+    assert {x["conv_id"]: tuple(x)[1:5] for x in chat.digest(chat.format_windows(df, COUNT)).collect()} == expected(rows)
+    assert chat.digest(chat.format_windows(df.limit(0), COUNT)).count() == 0
+
+
+SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM t GROUP BY conv_id
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_digests_match_sql_over_the_driver_table(spark):
+    """All but formatted_chars, which depends on the tokenizer."""
+    c = duckdb.connect()
+    c.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    got = op4_chat_format(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(c.execute(SQL).fetchall())
+    assert all(r["formatted_chars"] > r["loss_chars"] and r["n_windows"] >= 1 for r in got)
