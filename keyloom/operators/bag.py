@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.batch import Predicate, admit_prefix, exclusive_scan, is_sentinel, selected
@@ -24,6 +25,17 @@ def _fits(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows
 
 
+#: Copies of a row made at once when it is expanded.
+CHUNK = 1 << 16
+
+
+def _expanded(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0; in chunks, so that no array is longer than ``CHUNK``, whatever ``n``."""
+    chunks = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
+    last = F.least(F.lit(CHUNK - 1).cast("long"), F.col(n) - 1 - F.col("__chunk") * CHUNK)
+    return chunks.withColumn(name, F.explode(F.sequence(F.col("__chunk") * CHUNK, F.col("__chunk") * CHUNK + last))).drop("__chunk")
+
+
 @dataclass(frozen=True)
 class Multiset:
     """Keys with multiplicities.  ``state`` has key and seq, the order of admission."""
@@ -46,8 +58,9 @@ class Multiset:
         placed = exclusive_scan(new, F.lit(1), "__at").select("key", (F.col("__at") + size).alias("seq"))
         return Outcome(replace(self, state=self.state.unionByName(placed)), counts)
 
-    def _counts(self) -> DataFrame:
-        return self.state.groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+    def _counts(self, canonical: Callable[[Column], Column] | None = None) -> DataFrame:
+        key = canonical(F.col("key")) if canonical else F.col("key")
+        return self.state.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("__n"))
 
     def contains(self, queries: DataFrame, predicate: Predicate | None = None) -> DataFrame:
         found = queries.join(self._counts(), "key", "left")
@@ -58,11 +71,15 @@ class Multiset:
         hit = F.col("__n").isNotNull() & selected(queries, predicate)
         return found.select(*queries.columns, F.when(hit, F.col("key")).otherwise(F.lit(self.empty_key)).alias("found"))
 
-    def count_each(self, queries: DataFrame, predicate: Predicate | None = None, outer: bool = False) -> DataFrame:
-        """Queries with their key's multiplicity, 0 if absent or not selected; ``outer``: at least 1, as a left join yields."""
-        found = queries.join(self._counts(), "key", "left")
+    def count_each(self, queries: DataFrame, predicate: Predicate | None = None, outer: bool = False, equal: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Queries with their key's multiplicity, 0 if absent or not selected; ``outer``: at least 1, as a left join yields.
+
+        With ``equal``, keys are equal where that expression of them is: it must be an equivalence.
+        """
+        asked = queries.withColumn("__k", equal(F.col("key")) if equal else F.col("key"))
+        found = asked.join(self._counts(equal).withColumnRenamed("key", "__h"), F.col("__k") == F.col("__h"), "left")
         n = F.when(selected(queries, predicate), F.coalesce("__n", F.lit(0))).otherwise(F.lit(0))
-        return found.select(*queries.columns, (F.greatest(n, F.lit(1)) if outer else n).cast("long").alias("multiplicity"))
+        return found.select(*[queries[c] for c in queries.columns], (F.greatest(n, F.lit(1)) if outer else n).cast("long").alias("multiplicity"))
 
     def count(self, queries: DataFrame) -> DataFrame:
         """One row: the rows of the inner join, repeated queries counted.  Aggregated before joining: nothing is expanded."""
@@ -73,7 +90,7 @@ class Multiset:
         """Inner-join rows with ``pos`` in query order; an error instead if there are more than ``limit``."""
         hits = queries.join(self._counts(), "key")
         placed = exclusive_scan(hits, F.col("__n"), "__at")
-        rows = placed.select("ord", "key", "__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__k"))
+        rows = _expanded(placed.select("key", "__at", "__n"), "__n", "__k")
         return _fits(rows.select((F.col("__at") + F.col("__k")).alias("pos"), F.col("key").alias("probe"), F.col("key").alias("match")), limit)
 
     def retrieve_all(self, limit: int | None = None) -> DataFrame:
@@ -143,11 +160,12 @@ class Multimap:
         starts = exclusive_scan(queries.join(held, "key"), F.col("__n"), "__at").select("ord", "key", "__at")
         # ranks of the values within a key: those of a (key, value) are alike, so a run expands at its first rank
         runs = self.state.groupBy("key", "value").agg(F.count(F.lit(1)).alias("__c"))
-        from pyspark.sql import Window
-
-        before = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        runs = runs.withColumn("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-        rows = starts.join(runs, "key").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)))
+        if dict(self.state.dtypes)["value"] in ("tinyint", "smallint", "int", "bigint"):
+            runs = exclusive_scan(runs.withColumn("__o", F.col("value").cast("long")), F.col("__c"), "__r", "__o", ("key",))
+        else:  # no bits to scan by: one task sorts the different values of a key
+            before = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+            runs = runs.withColumn("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        rows = _expanded(starts.join(runs, "key"), "__c", "__k")
         return _fits(rows.select((F.col("__at") + F.col("__r") + F.col("__k")).alias("pos"), F.col("key").alias("probe"), "value"), limit)
 
     def retrieve_all(self, limit: int | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +30,34 @@ def selected(batch: DataFrame, predicate: Predicate | None, stencil: str = "sten
     return F.lit(True) if predicate is None else F.coalesce(predicate(batch[stencil]), F.lit(False))
 
 
-def exclusive_scan(df: DataFrame, value: Column, name: str, order: str = "ord") -> DataFrame:
-    """Add the sum of ``value`` over all rows before this one by ``order`` (unique longs).
+def exclusive_scan(df: DataFrame, value: Column, name: str, order: str = "ord", within: tuple[str, ...] = ()) -> DataFrame:
+    """Add the sum of ``value`` over all rows before this one by ``order`` (unique longs), of its group ``within`` those columns.
 
     Four levels of 16 bits of ``order``: each window sees at most 65,536 rows, whatever their number,
-    so no task holds the whole input; the upper levels are aggregates.
+    so no task holds the whole input.  The upper three levels are scanned on their totals (one row for
+    up to 65,536) and folded into one offset, so the input is shuffled once.
     """
     level = df.withColumn("__v", value.cast("long")).withColumn("__b1", F.shiftright(F.col(order), 16))
-    own = Window.partitionBy("__b1").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = level.withColumn("__s0", F.coalesce(F.sum("__v").over(own), F.lit(0)))
-    totals = level.groupBy("__b1").agg(F.sum("__v").alias("__v"))
-    for i in (1, 2):
-        totals = totals.withColumn(f"__b{i + 1}", F.shiftright(f"__b{i}", 16))
-        before = Window.partitionBy(f"__b{i + 1}").orderBy(f"__b{i}").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.join(totals.select(f"__b{i}", f"__b{i + 1}", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias(f"__s{i}")), f"__b{i}")
-        totals = totals.groupBy(f"__b{i + 1}").agg(F.sum("__v").alias("__v"))
-    before = Window.orderBy("__b3").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
-    out = out.join(totals.select("__b3", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__s3")), "__b3")
-    scanned = (F.col("__s0") + F.col("__s1") + F.col("__s2") + F.col("__s3")).alias(name)
-    return out.select(*df.columns, scanned)
+    ones = level.groupBy(*within, "__b1").agg(F.sum("__v").alias("__v")).withColumn("__b2", F.shiftright("__b1", 16))
+    twos = ones.groupBy(*within, "__b2").agg(F.sum("__v").alias("__v")).withColumn("__b3", F.shiftright("__b2", 16))
+    threes = twos.groupBy(*within, "__b3").agg(F.sum("__v").alias("__v"))
+
+    def before(by: str, *parts: str) -> Column:
+        frame = Window.partitionBy(*within, *parts).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("__v").over(frame), F.lit(0))
+
+    offsets = threes.select(*within, "__b3", before("__b3").alias("__off"))  # at most 65,536 rows a group
+    for rows, own, above in ((twos, "__b2", "__b3"), (ones, "__b1", "__b2")):
+        scanned = rows.select(*within, own, above, before(own, above).alias("__s"))
+        offsets = _matched(scanned, offsets, (*within, above)).select(*within, own, (F.col("__off") + F.col("__s")).alias("__off"))
+    out = _matched(level.withColumn("__s0", before(order, "__b1")), offsets, (*within, "__b1"))
+    return out.select(*df.columns, (F.col("__s0") + F.col("__off")).alias(name))
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Inner join on equal keys, with the left names."""
+    renamed = right.select(*[F.col(c).alias(f"__r{c}" if c in keys else c) for c in right.columns])
+    return left.join(renamed, reduce(and_, [F.col(c) == F.col(f"__r{c}") for c in keys])).drop(*[f"__r{c}" for c in keys])
 
 
 def admit_prefix(rows: DataFrame, state: DataFrame, capacity: int | None, order: str = "ord") -> DataFrame:

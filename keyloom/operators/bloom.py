@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,16 @@ class Policy:
         return [block.alias("block"), *[x.alias(f"w{w}") for w, x in enumerate(pattern)]]
 
 
+def add_word(word: Column, pattern: Column) -> Column:
+    """A word with a key's pattern set: what one key does to one word."""
+    return word.bitwiseOR(pattern)
+
+
+def contains_word(word: Column, pattern: Column) -> Column:
+    """Whether a word holds all of a key's pattern."""
+    return word.bitwiseAND(pattern) == pattern
+
+
 def float_bits(col: Column) -> Column:
     """The 32 bits of a float column as an int."""
     import pandas as pd
@@ -111,7 +122,7 @@ class BloomFilter:
         """Queries with ``found``: true for every added key, rarely for another; false if not selected."""
         placed = queries.select("*", *[c.alias(f"__q{i}") for i, c in enumerate(self.policy.place(F.col(key), self.blocks))])
         joined = placed.join(self.table.withColumnRenamed("block", "__block"), F.col("__q0") == F.col("__block"), "left")
-        hit = reduce(lambda a, b: a & b, [F.col(w).bitwiseAND(F.col(f"__q{i + 1}")) == F.col(f"__q{i + 1}") for i, w in enumerate(self._names())])
+        hit = reduce(and_, [contains_word(F.col(w), F.col(f"__q{i + 1}")) for i, w in enumerate(self._names())])
         return joined.select(*queries.columns, F.coalesce(hit & selected(queries, predicate), F.lit(False)).alias("found"))
 
     def merge(self, other: BloomFilter) -> BloomFilter:

@@ -35,16 +35,23 @@ def register(key: Column, p: int, seed: int = 0) -> tuple[Column, Column]:
     return F.shiftrightunsigned(h, 64 - p).cast("int"), (F.lit(65) - F.length(F.bin(tail))).cast("int")
 
 
-def finalize(z: float, zeros: int, p: int, bias=None) -> int:
-    """The estimate from the sum of 2**-rank over all registers and the number of empty ones."""
-    m = 1 << p
-    e = 0.7213 / (1 + 1.079 / m) * m * m / z
-    linear = m * math.log(m / zeros) if zeros else None
-    if linear is not None and e <= 2.5 * m:
-        return round(linear)
-    if bias is not None and e < 5 * m:
-        e -= bias(e)
-    return round(e)
+#: Up to this estimate of linear counting it is the better one, by precision.
+THRESHOLDS = {13: 6500, 14: 11500, 15: 20000, 16: 50000, 17: 120000, 18: 350000}
+
+
+def _bias(spark: SparkSession, p: int, e: Column) -> Column:
+    """Mean bias of the six known raw estimates nearest to ``e``.
+
+    The table is Spark's own, read from the JVM of a classic session; a remote one has none, and then
+    nothing is corrected.
+    """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return F.lit(0.0)
+    module = getattr(getattr(jvm.org.apache.spark.sql.catalyst.util, "HyperLogLogPlusPlusHelper$"), "MODULE$")
+    raw, bias = (list(x[p - 4]) for x in (module.RAW_ESTIMATE_DATA(), module.BIAS_DATA()))
+    known = F.array(*[F.struct(F.abs(e - F.lit(r)).alias("off"), F.lit(b).alias("bias")) for r, b in zip(raw, bias, strict=True)])
+    return F.aggregate(F.slice(F.array_sort(known), 1, 6), F.lit(0.0), lambda acc, x: acc + x["bias"]) / F.lit(6.0)
 
 
 @dataclass(frozen=True)
@@ -83,21 +90,17 @@ class HyperLogLog:
         return held.select((F.col("s") + (F.lit(m) - F.col("n"))).alias("z"), (F.lit(m) - F.col("n")).alias("zeros"))
 
     def estimate(self) -> int:
-        """The number of distinct keys; bias-corrected with Spark's own tables where the session has a JVM."""
-        row = self.statistics().first()
-        try:
-            helper = self.registers.sparkSession._jvm.org.apache.spark.sql.catalyst.util.HyperLogLogPlusPlusHelper(1.106 / math.sqrt(1 << self.p) * 0.999999)
-            bias = lambda e: helper.estimateBias(float(e))
-        except Exception:  # a remote session has no JVM to ask
-            bias = None
-        return finalize(row["z"], row["zeros"], self.p, bias)
+        """The number of distinct keys: ``estimate_df`` as a number."""
+        return self.estimate_df().first()[0]
 
     def estimate_df(self) -> DataFrame:
-        """One row, lazily: linear counting up to 2.5 m, the raw estimate beyond."""
-        m = 1 << self.p
-        raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / F.col("z")
-        linear = F.lit(float(m)) * F.log(F.lit(float(m)) / F.col("zeros"))
-        return self.statistics().select(F.round(F.when((F.col("zeros") > 0) & (raw <= 2.5 * m), linear).otherwise(raw)).cast("long").alias("estimate"))
+        """One row, lazily: linear counting up to 2.5 m and up to the precision's threshold, else the raw estimate less its bias."""
+        m = float(1 << self.p)
+        row = self.statistics().withColumn("e", F.lit(0.7213 / (1 + 1.079 / m) * m * m) / F.col("z"))
+        row = row.withColumn("h", F.when(F.col("zeros") > 0, F.lit(m) * F.log(F.lit(m) / F.col("zeros"))))
+        linear = F.col("h").isNotNull() & ((F.col("e") <= 2.5 * m) | (F.col("h") <= THRESHOLDS[self.p]))
+        corrected = F.when(F.col("e") < 5.0 * m, F.col("e") - _bias(self.registers.sparkSession, self.p, F.col("e"))).otherwise(F.col("e"))
+        return row.select(F.round(F.when(linear, F.col("h")).otherwise(corrected)).cast("long").alias("estimate"))
 
     def clear(self) -> HyperLogLog:
         return replace(self, registers=self.registers.limit(0))

@@ -3,13 +3,16 @@
 A container is a relation (key[, value]) with unique keys; each operation is a pure function of it and
 a batch.  Batches have ``ord`` (unique long: the input's order), ``key``, for maps ``value``, and for
 the conditional forms ``stencil``.  Of equal keys the first by ``ord`` wins an insert and the last an
-upsert.  Everything is lazy; only the scalar properties of an ``Outcome`` run a job.
+upsert.  Operations are lazy, and the scalar properties of an ``Outcome`` run a job; each refers to the
+state once, so a chain's plan grows by one aggregation a batch.  An operation that would make the
+chain longer than ``CHAIN`` (or stand on one that a capacity cuts, which refers to the state more
+often) writes the state first; ``snapshot`` does so at will.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,11 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import capacity as slots
 from keyloom.operators.batch import Predicate, admit_prefix, is_sentinel, selected
+from keyloom.sources.snapshots import snapshot
+
+#: Operations that may stand on one another before the state is written: each refers to the state once.
+CHAIN = 16
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,8 @@ class StaticSet:
     probing: str = "double"
     #: Custom equality: keys are equal where this expression of them is.  It must be an equivalence.
     canonical: Callable[[Column], Column] | None = None
+    #: Operations since the state was last written.
+    depth: int = 0
 
     values = ()
 
@@ -78,60 +88,104 @@ class StaticSet:
         return self.state.count()
 
     def clear(self) -> StaticSet:
-        return replace(self, state=self.state.limit(0))
+        return replace(self, state=self.state.sparkSession.createDataFrame([], self.state.schema), depth=0)
 
     # -- parts
     def _valid(self) -> Column:
         key = F.col("key")
         return ~(key.isNull() | is_sentinel(key, self.empty_key) | is_sentinel(key, self.erased_key))
 
+    def _typed(self, batch: DataFrame) -> DataFrame:
+        """``batch`` with keys and values in the state's types: wider integers are the only cast made silently."""
+        have, want = dict(batch.dtypes), dict(self.state.dtypes)
+        for c in ("key", *self.values):
+            if c in have and have[c] != want[c]:
+                if have[c] not in _INTEGRAL or want[c] not in _INTEGRAL or _INTEGRAL.index(have[c]) > _INTEGRAL.index(want[c]):
+                    raise TypeError(f"column {c} is {have[c]} and the container's is {want[c]}")
+                batch = batch.withColumn(c, F.col(c).cast(want[c]))
+        return batch
+
     def _taken(self, batch: DataFrame, predicate: Predicate | None) -> DataFrame:
-        return self._own(batch.filter(selected(batch, predicate)) if predicate else batch)
+        return self._own(self._typed(batch.filter(selected(batch, predicate)) if predicate else batch))
 
-    def _firsts(self, rows: DataFrame) -> DataFrame:
-        """One row a key: the first by ord."""
-        return rows.filter(self._valid()).groupBy("key").agg(F.min("ord").alias("ord"), *[F.min_by(v, "ord").alias(v) for v in self.values])
+    def snapshot(self) -> Any:
+        """The same container over its state as written: later plans begin there."""
+        return replace(self, state=snapshot(self.state), depth=0)
 
-    def _admitted(self, rows: DataFrame) -> DataFrame:
-        return admit_prefix(self._firsts(rows).join(self.state.select("key"), "key", "left_anti"), self.state, self.capacity)
+    def _base(self) -> Any:
+        """This container, written first if the chain under it is long."""
+        return self.snapshot() if self.depth >= (CHAIN if self.capacity is None else 1) else self
 
-    def _with(self, new: DataFrame) -> Any:
-        return replace(self, state=self.state.unionByName(new.select(*self.state.columns)))
+    def _with(self, state: DataFrame) -> Any:
+        return replace(self, state=state.select(*self.state.columns), depth=self.depth + 1)
 
     # -- updates
+    def _merged(self, rows: DataFrame, last: bool = False) -> DataFrame:
+        """State and batch by key in one aggregation: key, values, ``ord`` (the first batch row's), ``__old``, ``__n`` batch rows.
+
+        The value is the stored one, else that of the first batch row; with ``last``, of the last batch
+        row if there is one.  Rows that no container takes are counted under a null key.
+        """
+        stored = self.state.select("key", *self.values, F.lit(None).cast("long").alias("ord"), F.lit(True).alias("__old"))
+        fresh = rows.select(F.when(self._valid(), F.col("key")).alias("key"), *self.values, F.col("ord").cast("long").alias("ord"), F.lit(False).alias("__old"))
+        old = [F.max(F.when(F.col("__old"), F.col(v))).alias(f"__old_{v}") for v in self.values]
+        new = [(F.max_by if last else F.min_by)(F.when(~F.col("__old"), F.col(v)), "ord").alias(f"__new_{v}") for v in self.values]
+        both = stored.unionByName(fresh).groupBy("key").agg(*old, *new, F.min("ord").alias("ord"), F.max("__old").alias("__old"), F.count_if(~F.col("__old")).alias("__n"))
+        keep = (F.col("__n") == 0) if last else F.col("__old")
+        return both.select("key", *[F.when(keep, F.col(f"__old_{v}")).otherwise(F.col(f"__new_{v}")).alias(v) for v in self.values], "ord", "__old", "__n")
+
+    def _fitting(self, merged: DataFrame) -> DataFrame:
+        """Merged rows without the null key and, of new keys, those that fit."""
+        held = merged.filter("key IS NOT NULL")
+        if self.capacity is None:
+            return held
+        return held.filter("__old").unionByName(admit_prefix(held.filter("NOT __old"), held.filter("__old"), self.capacity))
+
+    def _counts(self, merged: DataFrame, fitting: DataFrame) -> DataFrame:
+        """One row: the batch's rows, keys inserted, rows whose key is stored.  One pass where nothing overflows."""
+        n, new = F.coalesce(F.sum("__n"), F.lit(0)), F.count_if(F.col("key").isNotNull() & ~F.col("__old"))
+        stored = F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("__n"))), F.lit(0))
+        if self.capacity is None:
+            return merged.agg(n.alias("n"), new.alias("inserted"), stored.alias("stored"))
+        return merged.agg(n.alias("n")).join(F.broadcast(fitting.agg(new.alias("inserted"), stored.alias("stored"))))  # one row each
+
     def insert(self, batch: DataFrame, predicate: Predicate | None = None) -> Outcome:
         """Insert if absent.  ``failed`` counts sentinels, keys present or repeated, and overflow; rows not selected are no failures."""
-        rows = self._taken(batch, predicate)
-        new = self._admitted(rows)
-        counts = rows.agg(F.count(F.lit(1)).alias("n")).join(new.agg(F.count(F.lit(1)).alias("inserted")), F.lit(True)).select("inserted", (F.col("n") - F.col("inserted")).alias("failed"))
-        return Outcome(self._with(new), counts)
+        self = self._base()
+        merged = self._merged(self._taken(batch, predicate))
+        fitting = self._fitting(merged)
+        counts = self._counts(merged, fitting).select("inserted", (F.col("n") - F.col("inserted")).alias("failed"))
+        return Outcome(self._with(fitting), counts)
 
     def insert_async(self, batch: DataFrame, predicate: Predicate | None = None) -> Any:
-        return self._with(self._admitted(self._taken(batch, predicate)))
+        self = self._base()
+        return self._with(self._fitting(self._merged(self._taken(batch, predicate))))
 
     def insert_and_find(self, batch: DataFrame) -> Outcome:
         """Each row with the stored key (value, for maps) and whether this row inserted it; sentinel and overflow: empty, false."""
-        batch = self._own(batch)
-        new = self._admitted(batch)
+        self = self._base()
+        batch = self._own(self._typed(batch))
+        merged = self._merged(batch)
+        fitting = self._fitting(merged)
         shown = self.values or ("key",)
-        stored = self.state.select("key", F.lit(None).cast("long").alias("__ord"), *[F.col(v).alias(f"__{v}") for v in shown])
-        stored = stored.union(new.select("key", F.col("ord").alias("__ord"), *[F.col(v).alias(f"__{v}") for v in shown]))
+        stored = fitting.select("key", F.when(~F.col("__old"), F.col("ord")).alias("__ord"), *[F.col(v).alias(f"__{v}") for v in shown])
         rows = batch.join(stored, "key", "left")
         found = [F.coalesce(f"__{v}", F.lit(e)).alias("found" if v == "key" else f"found_{v}") for v, e in zip(shown, self._empties(), strict=True)]
         inserted = F.coalesce(F.col("ord") == F.col("__ord"), F.lit(False)).alias("inserted")
-        counts = new.agg(F.count(F.lit(1)).alias("inserted"))
-        return Outcome(self._with(new), counts, rows.select(*batch.columns, *found, inserted))
+        return Outcome(self._with(fitting), self._counts(merged, fitting).select("inserted"), rows.select(*batch.columns, *found, inserted))
 
     def erase(self, batch: DataFrame) -> Outcome:
         """Delete keys.  ``failed`` counts rows beyond the distinct keys deleted; a repeated key succeeds once."""
-        batch = self._own(batch)
-        keys = batch.select("key").distinct()
-        gone = self.state.join(keys, "key", "left_semi")
-        counts = batch.agg(F.count(F.lit(1)).alias("n")).join(gone.agg(F.count(F.lit(1)).alias("deleted")), F.lit(True)).select("deleted", (F.col("n") - F.col("deleted")).alias("failed"))
+        self = self._base()
+        batch = self._own(self._typed(batch))
+        asked = batch.groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+        hits = asked.join(self.state.select("key", F.lit(1).alias("__hit")), "key", "left")
+        counts = hits.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.count("__hit").alias("deleted")).select("deleted", (F.col("n") - F.col("deleted")).alias("failed"))
         return Outcome(self.erase_async(batch), counts)
 
     def erase_async(self, batch: DataFrame) -> Any:
-        return replace(self, state=self.state.join(self._own(batch).select("key"), "key", "left_anti"))
+        self = self._base()
+        return self._with(self.state.join(self._own(self._typed(batch)).select("key"), "key", "left_anti"))
 
     # -- queries
     def _empties(self) -> tuple:
@@ -177,50 +231,61 @@ class StaticMap(StaticSet):
     def _empties(self) -> tuple:
         return (self.empty_value,)
 
-    def _upserted(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(merged rows with ``__new``, batch rows that were stored)."""
-        valid = self._own(batch).filter(self._valid())
-        last = valid.groupBy("key").agg(F.max_by("value", "ord").alias("__value"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("__n"))
-        merged = self.state.withColumn("__old", F.lit(True)).join(last, "key", "full_outer")
-        merged = merged.select("key", F.when(F.col("__n").isNull(), F.col("value")).otherwise(F.col("__value")).alias("value"), F.col("__old").isNull().alias("__new"), "ord", F.coalesce("__n", F.lit(0)).alias("__n"))
-        if self.capacity is not None:
-            fits = admit_prefix(merged.filter("__new"), self.state, self.capacity)
-            merged = merged.filter("NOT __new").unionByName(fits)
-        return merged
-
     def insert_or_assign(self, batch: DataFrame) -> Outcome:
         """Upsert: the last row of a key wins.  ``failed``: sentinels and overflow; ``assigned``: rows that hit a key already there."""
-        merged = self._upserted(batch)
-        counts = batch.agg(F.count(F.lit(1)).alias("n")).join(merged.agg(F.count_if("__new").alias("inserted"), F.coalesce(F.sum("__n"), F.lit(0)).alias("stored")), F.lit(True))
+        self = self._base()
+        merged = self._merged(self._taken(batch, None), last=True)
+        fitting = self._fitting(merged)
+        counts = self._counts(merged, fitting)
         counts = counts.select("inserted", (F.col("stored") - F.col("inserted")).alias("assigned"), (F.col("n") - F.col("stored")).alias("failed"))
-        return Outcome(replace(self, state=merged.select("key", "value")), counts)
+        return Outcome(self._with(fitting), counts)
 
     def insert_or_assign_async(self, batch: DataFrame) -> Any:
-        return replace(self, state=self._upserted(batch).select("key", "value"))
+        self = self._base()
+        return self._with(self._fitting(self._merged(self._taken(batch, None), last=True)))
 
     def assign(self, batch: DataFrame, predicate: Predicate | None = None) -> Any:
         """Update values of keys that are there; never inserts."""
-        last = self._taken(batch, predicate).filter(self._valid()).groupBy("key").agg(F.struct(F.max_by("value", "ord").alias("v")).alias("__s"))
-        merged = self.state.join(last, "key", "left")
-        return replace(self, state=merged.select("key", F.when(F.col("__s").isNull(), F.col("value")).otherwise(F.col("__s.v")).alias("value")))
+        self = self._base()
+        merged = self._merged(self._taken(batch, predicate), last=True)
+        return self._with(merged.filter("key IS NOT NULL AND __old"))
 
 
 @dataclass(frozen=True)
 class DynamicMap(StaticMap):
-    """A map that grows: no overflow.  Counts report successes; ``segments`` models its capacity."""
+    """A map that grows: no overflow.  Counts report successes.
+
+    ``growth`` follows the segments that an engine with fixed-size tables would open for the same
+    batches; here they are a number alone.  Counts that it needs stay lazy until it is asked.
+    """
 
-    segments: tuple[int, ...] = (1024,)
+    grown: slots.Growth = field(default_factory=lambda: slots.Growth.of(1024))
+    #: Batches since then: (one-row counts with n, inserted and deleted, how the next segment is prepared).
+    pending: tuple[tuple[DataFrame, str], ...] = ()
 
     @classmethod
     def create(cls, spark: SparkSession, key_type: str, value_type: str, empty_key: Any, empty_value: Any, initial: int = 1024, erased_key: Any = None) -> DynamicMap:
         if erased_key is not None and erased_key == empty_key:
             raise ValueError("the empty and the erased key must differ")
-        return cls(spark.createDataFrame([], f"key {key_type}, value {value_type}"), empty_key, None, erased_key, empty_value=empty_value, segments=(initial,))
+        return cls(spark.createDataFrame([], f"key {key_type}, value {value_type}"), empty_key, None, erased_key, empty_value=empty_value, grown=slots.Growth.of(initial))
 
     @property
     def capacity(self) -> None:
         return None
 
+    @property
+    def growth(self) -> slots.Growth:
+        """Segments and the rows in each, from the counts of all batches so far (a job for those not counted yet)."""
+        now = self.grown
+        for counts, prepares in self.pending:
+            row = counts.first()
+            now = now.erased(row["deleted"]) if row["deleted"] else now.after(row["n"], row["inserted"], prepares)
+        return now
+
+    @property
+    def segments(self) -> tuple[int, ...]:
+        return self.growth.segments
+
     @property
     def total_capacity(self) -> int:
         return sum(self.segments)
@@ -229,13 +294,47 @@ class DynamicMap(StaticMap):
     def num_segments(self) -> int:
         return len(self.segments)
 
+    def settled(self) -> DynamicMap:
+        """The same map with its growth counted."""
+        return replace(self, grown=self.growth, pending=())
+
+    def snapshot(self) -> DynamicMap:
+        return replace(super().snapshot(), grown=self.growth, pending=())
+
+    def _and(self, container: DynamicMap, n: Column, inserted: Column, deleted: Column, counts: DataFrame, prepares: str = "spread") -> DynamicMap:
+        one = counts.select(n.cast("long").alias("n"), inserted.cast("long").alias("inserted"), deleted.cast("long").alias("deleted"))
+        return replace(container, pending=(*container.pending, (one, prepares)))
+
     def reserve(self, n: int) -> DynamicMap:
-        return replace(self, segments=slots.grown(self.segments, n))
+        """Open segments until they take ``n`` rows; an empty first segment is no obstacle."""
+        return replace(self, grown=self.growth.reserved(n), pending=())
+
+    def insert(self, batch: DataFrame, predicate: Predicate | None = None) -> Outcome:
+        out = super().insert(batch, predicate)
+        n = F.col("inserted") + F.col("failed")
+        return replace(out, container=self._and(out.container, n, F.col("inserted"), F.lit(0), out.counts))
+
+    def insert_async(self, batch: DataFrame, predicate: Predicate | None = None) -> DynamicMap:
+        """As ``insert``; its growth counts every row of the batch as new."""
+        rows = batch.filter(selected(batch, predicate)) if predicate else batch
+        counts = rows.agg(F.count(F.lit(1)).alias("n"))
+        return self._and(super().insert_async(batch, predicate), F.col("n"), F.col("n"), F.lit(0), counts, "always")
+
+    def insert_or_assign(self, batch: DataFrame) -> Outcome:
+        out = super().insert_or_assign(batch)
+        n = F.col("inserted") + F.col("assigned") + F.col("failed")
+        return replace(out, container=self._and(out.container, n, F.col("inserted"), F.lit(0), out.counts))
+
+    def erase(self, batch: DataFrame) -> Outcome:
+        out = super().erase(batch)
+        return replace(out, container=self._and(out.container, F.lit(0), F.lit(0), F.col("deleted"), out.counts))
 
     def append_unique(self, batch: DataFrame) -> DynamicMap:
         """Insert keys that the caller knows to be new and distinct: no join, no shuffle."""
-        return replace(self, state=self.state.unionByName(batch.select("key", "value")))
+        counts = batch.agg(F.count(F.lit(1)).alias("n"))
+        added = replace(self, state=self.state.unionByName(self._typed(batch).select("key", "value")), depth=self.depth + 1)
+        return self._and(added, F.col("n"), F.col("n"), F.lit(0), counts, "never")
 
     def clear(self) -> DynamicMap:
-        return replace(self, state=self.state.limit(0))
-
+        """Empty; segments and capacity stay."""
+        return replace(super().clear(), grown=self.growth.cleared(), pending=())

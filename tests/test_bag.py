@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from keyloom.operators import bag as bag_module
 from keyloom.operators.bag import Multimap, Multiset
 
 LOW, TOP = -(2**31), 2**31 - 1
@@ -89,3 +91,25 @@ def test_capacity_must_be_positive(spark):
     for make in (lambda: Multiset.create(spark, "int", -1, 0), lambda: Multimap.create(spark, "int", "int", LOW, LOW, 0)):
         with pytest.raises(ValueError):
             make()
+
+
+def test_counts_under_a_given_equality(spark):
+    bag = Multiset.create(spark, "long", -1).insert(spark.createDataFrame([(0, 11), (1, 19), (2, 25), (3, 11)], "ord long, key long")).container
+    q = spark.createDataFrame([(0, 14), (1, 20), (2, 30), (3, 14)], "ord long, key long")
+    tens = lambda k: F.floor(k / 10)
+    assert [tuple(r) for r in bag.count_each(q, equal=tens).orderBy("ord").collect()] == [(0, 14, 3), (1, 20, 1), (2, 30, 0), (3, 14, 3)]
+    assert [r[2] for r in bag.count_each(q, outer=True, equal=tens).orderBy("ord").collect()] == [3, 1, 1, 3]
+
+
+def test_expansion_in_chunks_and_ranks_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(bag_module, "CHUNK", 4)
+    keys = [(i, i % 3) for i in range(40)]
+    bag = Multiset.create(spark, "long", -1).insert(spark.createDataFrame(keys, "ord long, key long")).container
+    got = sorted(tuple(r) for r in bag.retrieve(spark.createDataFrame([(0, 2), (1, 0), (2, 9)], "ord long, key long")).collect())
+    assert got == [(p, k, k) for p, k in enumerate([2] * 13 + [0] * 14)]
+    values = [(i, i % 2, (i * 7919) % 300_000 - 100_000) for i in range(200)] + [(200, 1, 5)] * 9
+    for kind in ("long", "double"):
+        mm = Multimap.create(spark, "long", kind, -1, -1).insert(spark.createDataFrame([(i, k, float(v) if kind == "double" else v) for i, k, v in values], f"ord long, key long, value {kind}")).container
+        rows = sorted(tuple(r) for r in mm.retrieve(spark.createDataFrame([(0, 1), (1, 0)], "ord long, key long")).collect())
+        want = [(k, v) for q in (1, 0) for k, v in sorted((k, v) for _, k, v in values if k == q)]
+        assert rows == [(p, k, v) for p, (k, v) in enumerate(want)]

@@ -1,11 +1,12 @@
 """Keyed containers against a plain dictionary model, and their contracts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators.keyed import DynamicMap, StaticMap, StaticSet
+from keyloom.operators.keyed import CHAIN, DynamicMap, StaticMap, StaticSet
 
 EMPTY = -1
 
@@ -131,6 +132,85 @@ def test_empty_batches(spark):
     assert out.container.find(none).count() == 0
 
 
+def test_chained_operations_plan_linearly(spark):
+    batches = [[(100 * b + i, (7 * b + i) % 90, b, 0) for i in range(12)] for b in range(50)]
+    m, want = StaticMap.create(spark, "long", "long", EMPTY, EMPTY), {}
+    frames = [frame(spark, b) for b in batches]
+    for b, f in zip(batches, frames, strict=True):
+        if b[0][2] % 5 == 4:
+            m = m.erase_async(f.filter("ord % 2 = 0"))
+            for o, k, *_ in b:
+                if o % 2 == 0:
+                    want.pop(k, None)
+        elif b[0][2] % 3 == 2:
+            m = m.insert_or_assign_async(f)
+            want |= {k: v for _, k, v, _ in b}
+        else:
+            m = m.insert_async(f)
+            for _, k, v, _ in b:
+                want.setdefault(k, v)
+    assert m.depth <= CHAIN
+    began = time.perf_counter()
+    plan = m.to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - began < 1 and plan.count("LogicalRDD") + plan.count("Relation") <= CHAIN + 1
+    assert contents(m) == want
+
+
+def test_chained_inserts_under_a_capacity(spark):
+    m, want = StaticSet.create(spark, "long", EMPTY, 40, probing="linear"), []
+    for b in range(5):
+        keys = [(i, 11 * b + i, 0, 0) for i in range(15)]
+        out = m.insert(frame(spark, keys))
+        new = [k for _, k, _, _ in keys if k not in want][: 40 - len(want)]
+        want += new
+        assert (out.inserted, out.failed) == (len(new), 15 - len(new))
+        m = out.container
+        assert m.depth <= 1
+    assert {r["key"] for r in m.to_df().collect()} == set(want)
+
+
+def test_snapshots_keep_what_is_held(spark):
+    m = StaticMap.create(spark, "long", "long", EMPTY, EMPTY).insert_async(frame(spark, rows(30, 12, 3)))
+    s = m.snapshot()
+    assert s.depth == 0 and contents(s) == contents(m)
+    assert "Aggregate" not in s.to_df()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_of_other_types_are_refused(spark):
+    m = StaticMap.create(spark, "long", "long", EMPTY, EMPTY)
+    for bad in ("ord long, key string, value long", "ord long, key long, value double", "ord long, key double, value long"):
+        with pytest.raises(TypeError):
+            m.insert(spark.createDataFrame([], bad))
+    assert contents(m.insert_async(spark.createDataFrame([(0, 1, 2)], "ord long, key int, value int"))) == {1: 2}
+    with pytest.raises(TypeError):
+        StaticSet.create(spark, "int", EMPTY).insert(spark.createDataFrame([], "ord long, key long"))
+
+
+def test_null_values_are_values(spark):
+    m = StaticMap.create(spark, "long", "long", EMPTY, EMPTY).insert_async(frame(spark, [(0, 1, None, 0), (1, 1, 5, 0), (2, 2, 6, 0), (3, None, 7, 0)]))
+    assert contents(m) == {1: None, 2: 6}
+    assert contents(m.insert_async(frame(spark, [(0, 1, 9, 0)]))) == {1: None, 2: 6}
+    assert contents(m.insert_or_assign_async(frame(spark, [(0, 2, 9, 0), (1, 2, None, 0)]))) == {1: None, 2: None}
+
+
+def test_growth_follows_the_batches(spark):
+    empty = DynamicMap.create(spark, "long", "long", EMPTY, EMPTY, 0)
+    assert empty.reserve(1).total_capacity > 0  # an empty first segment grows
+    out = empty.insert(frame(spark, [(0, 1, 2, 0)]))
+    assert out.inserted == 1 and out.container.size() == 1 and out.container.segments == (2, 32_768)
+    batch = spark.range(9_660).selectExpr("id AS ord", "id + 2 AS key", "id AS value")
+    more = out.container.insert(batch).container
+    assert more.segments == (2, 32_768, 65_536) and more.growth.filled == (0, 1, 9_660)
+    again = more.insert(batch).container  # all there: rows of the batch still need room
+    assert again.growth.filled == (0, 1, 9_660) and again.size() == 9_661
+    assert again.clear().segments == again.segments and again.clear().size() == 0
+    assert more.erase(batch.filter("key <= 101")).container.growth.size == 9_561
+    assert more.erase_async(batch).growth.size == 9_661  # not counted until asked for
+    assert empty.append_unique(batch).growth.filled == (0, 9_660)
+    assert empty.insert_async(batch.union(batch)).growth.size == 19_320  # counts every row
+    assert again.settled().pending == () and again.settled().growth == again.growth
+
+
 def test_growing_map(spark):
     with pytest.raises(ValueError):
         DynamicMap.create(spark, "long", "long", EMPTY, EMPTY, erased_key=EMPTY)

@@ -1,5 +1,6 @@
 """Hashes, cardinality sketches, Bloom filters, bitmaps, capacities, scans and streams."""
 
+import hashlib
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import capacity, hashing
 from keyloom.operators import bloom, roaring
 from keyloom.operators.batch import exclusive_scan
-from keyloom.operators.hll import HyperLogLog, finalize
+from keyloom.operators.hll import THRESHOLDS, HyperLogLog, _bias
 from keyloom.operators.keyed import StaticSet
 from keyloom.sources import tables
 from keyloom.streaming.microbatch import StreamingState
@@ -41,18 +42,60 @@ def test_capacities():
     assert [capacity.rounded(c, 5) for c in (0, 1, 5, 6)] == [10, 5, 5, 10]
     assert [capacity.rounded(c, b, "double") for c, b in ((20, 5), (8, 1), (21, 3))] == [25, 11, 21]
     assert capacity.usable(10_000) == 0 and capacity.usable(40_000) == 14_000
-    assert capacity.grown((40_000,), 50_000) == (40_000, 80_000)
+    assert capacity.Growth.of(40_000).reserved(50_000).segments == (40_000, 80_000)
     with pytest.raises(ValueError):
         capacity.rounded(-1)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 128, 1024, 65_537, 200_000])
-def test_estimates_stay_within_the_bound(spark, n):
+def test_growth():
+    """A batch goes whole into one segment; the next is at least twice the last and takes twice what is there."""
+    g = capacity.Growth.of(0)
+    assert g.segments == (2,) and g.room == 0
+    assert g.reserved(1).segments == (2, *(4 << k for k in range(14))) and sum(map(capacity.usable, g.reserved(1).segments)) >= 1
+    one = g.after(1, 1)
+    assert one.segments == (2, 32_768) and one.filled == (0, 1) and one.room == capacity.usable(32_768) - 1 == 9_659
+    assert one.after(9_659, 9_659).segments == (2, 32_768)
+    two = one.after(9_660, 9_000)
+    assert two.segments == (2, 32_768, 65_536) and two.filled == (0, 1, 9_000)
+    assert two.ready is None and two.erased(500).filled == (0, 0, 8_501) and two.cleared().filled == (0, 0, 0)
+    many = two.after(20_000, 20_000)  # spread over segments, and too little room is left for as many again
+    assert many.filled == (0, 1, 29_000)[:2] + (9_000, 20_000) or many.ready is not None
+    grown = capacity.Growth.of(100_000).after(40_000, 40_000).after(40_000, 40_000)
+    assert grown.segments == (100_000, 200_000) and grown.filled == (40_000, 40_000)
+    assert capacity.usable(1_000_000_000) == 599_990_000 + 23  # the load is a 32-bit float's
+
+
+@pytest.mark.parametrize(("n", "p"), [*((n, 13) for n in (0, 1, 2, 3, 7, 128, 1024, 4096, 65_537, 1_048_576)), *((65_537, p) for p in range(14, 19)), (1_048_576, 18)])
+def test_estimates_stay_within_the_bound(spark, n, p):
     keys = spark.range(2 * n).select((F.col("id") % max(n, 1) + 1).alias("key"))
-    sketch = HyperLogLog.create(spark, p=13).add(keys)
-    assert abs(sketch.estimate() - n) <= n * 3 * 1.04 / math.sqrt(1 << 13)
-    if n == 0:
-        assert sketch.estimate() == 0
+    got = HyperLogLog.create(spark, p=p).add(keys).estimate()
+    assert abs(got - n) <= n * 3 * 1.04 / math.sqrt(1 << p)
+
+
+def test_bias_is_the_mean_of_the_six_nearest(spark):
+    module = getattr(getattr(spark._jvm.org.apache.spark.sql.catalyst.util, "HyperLogLogPlusPlusHelper$"), "MODULE$")
+    raw, bias = (list(x[13 - 4]) for x in (module.RAW_ESTIMATE_DATA(), module.BIAS_DATA()))
+    for e in (raw[0] - 5, raw[40] + 1.5, raw[120] - 0.25, raw[-1] + 100):
+        near = sorted(range(len(raw)), key=lambda i: abs(raw[i] - e))[:6]
+        assert math.isclose(spark.range(1).select(_bias(spark, 13, F.lit(e))).first()[0], sum(bias[i] for i in near) / 6)
+    assert sorted(THRESHOLDS) == list(range(13, 19))
+
+
+def test_linear_counting_holds_up_to_the_threshold(spark):
+    """The rule's branches at given (raw estimate, empty registers), against plain arithmetic."""
+    m = float(1 << 13)
+    new = HyperLogLog.create(spark, p=13)
+    for filled, rank in ((0, 1), (3000, 2), (8192, 3), (8000, 3), (8191, 2), (8192, 14)):
+        sketch = HyperLogLog(spark.range(filled).select(F.col("id").cast("int").alias("idx"), F.lit(rank).alias("rank")), 13)
+        z, zeros = filled * 2.0**-rank + (m - filled), int(m) - filled
+        e = 0.7213 / (1 + 1.079 / m) * m * m / z
+        h = m * math.log(m / zeros) if zeros else None
+        if h is not None and (e <= 2.5 * m or h <= THRESHOLDS[13]):
+            want = h
+        else:
+            want = e - (spark.range(1).select(_bias(spark, 13, F.lit(e))).first()[0] if e < 5 * m else 0.0)
+        assert sketch.estimate() == math.floor(want + 0.5)
+    assert new.estimate() == 0
 
 
 def test_sketch_parameters_merge_and_registers(spark):
@@ -73,7 +116,6 @@ def test_sketch_parameters_merge_and_registers(spark):
         tail = (h << 13 | 1 << 12) & (2**64 - 1)
         want[h >> 51] = max(want.get(h >> 51, 0), 64 - tail.bit_length() + 1)
     assert {r["idx"]: r["rank"] for r in new().add(a).registers.collect()} == want
-    assert finalize(float(1 << 13), 1 << 13, 13) == 0
 
 
 @pytest.mark.parametrize("policy", [bloom.ARROW, bloom.Policy(4, 8, seed=3), bloom.Policy(1, 2)])
@@ -117,6 +159,10 @@ def test_bitmap_files_of_known_size():
     assert (len(roaring.serialize32(v)), len(roaring.serialize32(v, True))) == (72_616, 48_056)
     w = [b + x for b in (0, 1 << 32) for x in [*range(0x9001), *range(0xA000, 0x10001), 0x20000, 0x20005, *range(0x80000, 0x90000, 2)]]
     assert len(roaring.serialize64(w, True)) == 16_506
+    # the public files' digests
+    assert hashlib.sha256(roaring.serialize32(v)).hexdigest() == "d719ae2e0150a362ef7cf51c361527585891f01460b1a92bcfb6a7257282a442"
+    assert hashlib.sha256(roaring.serialize32(v, True)).hexdigest() == "1f1909bfdd354fa2f0694fe88b8076833ca5383ad9fc3f68f2709c84a2ab70e3"
+    assert hashlib.sha256(roaring.serialize64(w, True)).hexdigest() == "b5a553a759167f5f9ccb3fa21552d943b4c73235635b753376f4faf62067d178"
 
 
 @pytest.mark.parametrize("runs", [False, True])
