@@ -2,8 +2,7 @@
 
 Seed entities induce lexical patterns (what stands left and right of them, and their shape); a graph of
 patterns and instances is scored in rounds; trusted patterns find identifiers that no base pattern
-knows.  A pattern is contradicted by instances that fail a check, and by ordinary words that stand in
-its context.
+knows.  A pattern is contradicted by instances that fail a check, and by its words' standing elsewhere.
 """
 
 from __future__ import annotations
@@ -125,11 +124,9 @@ def contexts(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def _trigger(context: str) -> str:
-    """The word without which a context cannot occur: the one before, else the one after."""
-    kind, *parts = context.split("\x1f")
-    part = parts[1] if kind == "2" else parts[0] if parts[0][0] not in "^#" else parts[1]
-    return re.sub(r"^\W+|\W+$", "", part)
+def words_of(context: str) -> list[str]:
+    """The words of a context; each has one at least."""
+    return [w for part in context.split("\x1f")[1:] if part[0] not in "^#" and (w := re.sub(r"^\W+|\W+$", "", part))]
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, list[str], str, bool]]:
@@ -150,21 +147,12 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
     return [(a, b, _named(text[a:b]), found, _shape(text[a:b]), seed) for a, b, seed in spans if (found := contexts(text, a, b))]
 
 
-def ordinary(text: str, wanted: frozenset[str] | None, triggers: frozenset[str]) -> Counter[str]:
-    """How often an ordinary word (letters alone) stands in each context, of those ``wanted`` or of all."""
-    found: Counter[str] = Counter()
-    if wanted is None:
-        for m in _ORDINARY.finditer(text):
-            found.update(contexts(text, *m.span()))
-        return found
+def count_words(text: str, wanted: frozenset[str] | None, found: Counter[str]) -> None:
+    """Adds the words (letters alone, in lower case) of a text to ``found``: those ``wanted``, or all."""
     words = list(map(str.lower, _ORDINARY.findall(text)))
-    if triggers.isdisjoint(words) and max(map(len, words), default=0) <= 64:
-        return found
-    words, spots = list(map(_named, words)), [m.span() for m in _ORDINARY.finditer(text)]
-    for i, (a, b) in enumerate(spots):
-        if i and words[i - 1] in triggers or i + 1 < len(words) and words[i + 1] in triggers:
-            found.update(c for c in contexts(text, a, b) if c in wanted)
-    return found
+    if max(map(len, words), default=0) > 64:
+        words = list(map(_named, words))
+    found.update(words if wanted is None else filter(wanted.__contains__, words))
 
 
 #: A run of as many digits as a card has that fails the check digit: what the scan itself contradicts.
@@ -193,25 +181,30 @@ def _rounds(graph: DataFrame, rounds: int, least_score: float, least_support: in
     return good
 
 
-def _idle(docs: DataFrame, contexts_: DataFrame, sent: int) -> DataFrame:
-    """(context, idle): the ordinary words of all texts that stand in each of ``contexts_(context)``."""
-    few = [r[0] for r in contexts_.limit(sent + 1).collect()]
-    wanted = frozenset(few) if len(few) <= sent else None
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, frozenset(map(_trigger, wanted or ()))))
+def _frequencies(docs: DataFrame, words: DataFrame, sent: int) -> DataFrame:
+    """(word, total): how often each of ``words(word)`` stands in all texts."""
+    few = [r[0] for r in words.limit(sent + 1).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= sent else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
         for batch in batches:
-            found: Counter[str] = Counter()
             for text in batch.column("text"):
-                found.update(ordinary(text.as_py() or "", *shared.value))
-                if len(found) > 200_000:
-                    yield pa.RecordBatch.from_pydict({"context": list(found), "n": list(found.values())})
-                    found = Counter()
-            if found:
-                yield pa.RecordBatch.from_pydict({"context": list(found), "n": list(found.values())})
+                count_words(text.as_py() or "", shared.value, found)
+            if len(found) > 200_000:
+                yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values())})
+                found.clear()
+        if found:
+            yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values())})
 
-    counts = docs.select("text").mapInArrow(count, "context string, n long").groupBy("context").agg(F.sum("n").alias("idle"))
-    return contexts_.join(counts, "context", "left").select("context", F.coalesce("idle", F.lit(0)).alias("idle"))
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("total"))
+    return materialize(counts.join(words, "word", "left_semi"), "frequencies")
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(c, w) for c in batch.column("context").to_pylist() for w in words_of(c)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["context", "word"])
 
 
 def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int, least_share: float, sent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -221,11 +214,13 @@ def _graph(docs: DataFrame, rounds: int, least_score: float, least_support: int,
     graph = rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
     graph = graph.withColumn("contrary", ~F.col("seed") & F.expr(CONTRARY)).withColumn("context", F.explode("contexts")).drop("contexts")
     graph = graph.withColumn("pattern", F.concat("context", F.lit("\x1e"), "shape"))
-    # ordinary words can only take trust away, so they are counted in contexts that would have it without them
-    at_best = _rounds(graph, rounds, least_score, least_support).select("context").distinct()
-    idle = _idle(docs, at_best, sent)
+    # frequencies can only take trust away, so they are counted for contexts that would have it without them
+    at_best = materialize(_rounds(graph, rounds, least_score, least_support).select("context").distinct(), "contexts")
+    words = materialize(at_best.mapInArrow(_split, "context string, word string"), "words")
+    totals = _frequencies(docs, words.select("word").distinct(), sent)
+    rarest = words.join(totals, "word").groupBy("context").agg(F.min("total").alias("total"))
     used = graph.join(at_best, "context", "left_semi").groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-    open_ = materialize(used.join(idle, "context").filter(F.col("n") >= least_share * (F.col("n") + F.col("idle"))).select("context"), "open")
+    open_ = materialize(used.join(rarest, "context").filter(F.col("n") >= least_share * F.col("total")).select("context"), "open")
     good = _rounds(graph.join(open_, "context", "left_semi"), rounds, least_score, least_support)
     return rows, graph, materialize(good, "trusted", keep=True)
 
@@ -240,9 +235,9 @@ def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_su
     confirmed and contradicted instances (one pseudo-instance of 0 added), if ``least_support``
     different instances confirm it, and an instance by its best pattern.  Confirmed are seeds and
     instances of trusted patterns, contradicted are card numbers that fail their check digit; an
-    instance that is neither says nothing about its pattern.  Negative evidence is that a context holds
-    ordinary words: entities and candidates must be ``least_share`` of what stands in it, over all
-    texts.  Mentions of trusted patterns get the kind ``context``; secrets get ``secret``.  Base spans
+    instance that is neither says nothing about its pattern.  Negative evidence is where a context's
+    words stand besides: the mentions in it must be ``least_share`` of all occurrences, in all texts, of
+    its rarest word, so words of general use make no pattern.  Mentions of trusted patterns get the kind ``context``; secrets get ``secret``.  Base spans
     are never changed.
 
     Only mentions (a few a document) are shuffled, with partial aggregation by pattern and instance.

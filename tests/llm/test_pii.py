@@ -76,24 +76,28 @@ def test_contexts_are_the_patterns(text, a, n):
 
 @settings(max_examples=500, deadline=None)
 @given(WORDY)
-def test_ordinary_words_are_counted_alike_with_and_without_a_list(text):
-    everything = pii.ordinary(text, None, frozenset())
-    brute_ = Counter(c for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text) for c in brute_contexts(text, *m.span()))
-    assert everything == brute_
+def test_words_are_counted_alike_with_and_without_a_list(text):
+    everything, some = Counter(), Counter()
+    pii.count_words(text, None, everything)
+    assert everything == Counter(m[0].lower() for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text))
     wanted = frozenset(list(everything)[::2])
-    assert pii.ordinary(text, wanted, frozenset(map(pii._trigger, wanted))) == {c: n for c, n in everything.items() if c in wanted}
+    pii.count_words(text, wanted, some)
+    assert some == {c: n for c, n in everything.items() if c in wanted}
+    for m in re.finditer(r"\w+", text):
+        for c in pii.contexts(text, *m.span()):
+            assert pii.words_of(c) and all(everything[w] for w in pii.words_of(c))
 
 
 def brute_trusted(texts, rounds=3, score=0.8, support=5, share=0.5):
     """Patterns that the graph trusts, scored in plain Python."""
-    found, idle = [], Counter()
+    found, total = [], Counter()
     for t in texts:
         for a, b, _, names, shape, seed in pii.mentions(t, brute(t)):
             found += [(c, shape, t[a:b], seed) for c in names]
-        for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", t):
-            idle.update(brute_contexts(t, *m.span()))
+        total.update(m[0].lower() for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", t))
     used = Counter(c for c, *_ in found)
-    found = [x for x in found if used[x[0]] >= share * (used[x[0]] + idle[x[0]])]
+    words = {c: [re.sub(r"\W", "", p) for p in c.split("\x1f")[1:] if p[0] not in "^#"] for c in used}
+    found = [x for x in found if used[x[0]] >= share * min(total[w] for w in words[x[0]])]
     contrary = lambda x: bool(re.fullmatch(r"[0-9](-?[0-9]){13,18}", x)) and not pii.luhn(x.replace("-", ""))
     seeds = {x for _, _, x, s in found if s}
     confident, good = dict.fromkeys(seeds, 1.0), {}
