@@ -1,0 +1,82 @@
+"""Intermediate tables go where their use ends, whatever runs beside."""
+
+import os
+import re
+import threading
+
+import pytest
+
+import corpus_pipeline
+from keyloom.llm import common
+from keyloom.llm.queries import QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+def tables(spark):
+    root = common.shared_root(spark).removeprefix("file://")
+    return {x for x in os.listdir(root) if re.search(r"-[0-9a-f]{32}$", x)}
+
+
+def read_by(df):
+    return {part for f in df.inputFiles() for part in f.split("/") if re.search(r"-[0-9a-f]{32}$", part)}
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="driver tables are not here")
+@pytest.mark.parametrize("name", [*QUERIES, "pipeline"])
+def test_queries_leave_only_what_their_result_reads(spark, name):
+    before = tables(spark)
+    found = (corpus_pipeline.run if name == "pipeline" else QUERIES[name])(spark, D)
+    left = tables(spark) - before
+    kept = {x for x in left if x.startswith("tokens-") or name == "pipeline" and x.rsplit("-", 1)[0] in dict(corpus_pipeline.STAGES)}
+    # the files of tokens are output; a result over rows in Python hides what it reads
+    assert left - kept - read_by(found) <= {x for x in left if x.startswith(("ranked-", "manifest-", "windows-"))}
+    assert len(left - kept) <= 3
+    assert found.count() > 0
+
+
+def test_scopes_nest_and_keep(spark):
+    rows = spark.range(5)
+    before = tables(spark)
+    with common.scratch(spark):
+        with common.scratch(spark):
+            inner = common.materialize(rows, "inner")
+            kept = common.materialize(rows, "kept", keep=True)
+            assert inner.count() == 5
+        assert {x.split("-")[0] for x in tables(spark) - before} == {"kept"}
+        assert kept.count() == 5
+    assert tables(spark) == before
+
+
+def test_a_failed_write_goes_too(spark):
+    before = tables(spark)
+    with pytest.raises(Exception, match="boom"), common.scratch(spark):
+        common.materialize(spark.range(5).selectExpr("if(id = 3, raise_error('boom'), id) AS x"), "bad")
+    assert tables(spark) == before
+
+
+def test_threads_do_not_delete_each_others_tables(spark):
+    barrier, seen = threading.Barrier(2), {}
+
+    def work(k):
+        with common.scratch(spark):
+            mine = common.materialize(spark.range(10 + k), f"thread{k}")
+            barrier.wait()
+            if k:
+                seen[k] = mine.count()
+        barrier.wait()
+        if not k:
+            seen["left"] = None
+
+    def late(k):
+        with common.scratch(spark):
+            mine = common.materialize(spark.range(10 + k), f"thread{k}")
+            barrier.wait()
+            barrier.wait()  # the other's scope has ended
+            seen[k] = mine.count()
+
+    a, b = threading.Thread(target=work, args=(1,)), threading.Thread(target=late, args=(2,))
+    a.start(), b.start()
+    a.join(), b.join()
+    assert seen == {1: 11, 2: 12}
+    assert spark.conf.get(common._CLEANUP, None) in (None, "false")
