@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.operators.batch import Predicate, admit_prefix, exclusive_scan, is_sentinel, selected
-from keyloom.operators.keyed import Outcome
+from keyloom.operators.batch import Predicate, admit_prefix, exclusive_scan, is_sentinel, selected, typed
+from keyloom.operators.keyed import CHAIN, Outcome
+from keyloom.sources.snapshots import snapshot
 
 
 def _checked(capacity: int | None) -> None:
@@ -43,6 +44,8 @@ class Multiset:
     state: DataFrame
     empty_key: Any
     capacity: int | None = None
+    #: Inserts since the state was last written.
+    depth: int = 0
 
     @classmethod
     def create(cls, spark: SparkSession, key_type: str, empty_key: Any, capacity: int | None = None) -> Multiset:
@@ -50,13 +53,21 @@ class Multiset:
         return cls(spark.createDataFrame([], f"key {key_type}, seq long"), empty_key, capacity)
 
     def insert(self, batch: DataFrame, predicate: Predicate | None = None) -> Outcome:
-        """Admit the earliest valid rows up to the capacity, repeats included.  ``failed``: sentinels and overflow."""
-        rows = batch.filter(selected(batch, predicate))
+        """Admit the earliest valid rows up to the capacity, repeats included.  ``failed``: sentinels and overflow.
+
+        An insert refers to the state for its size too, so every third of a chain writes it first.
+        """
+        self = self.snapshot() if self.depth >= 2 else self
+        rows = typed(batch.filter(selected(batch, predicate)), self.state, ("key",))
         new = admit_prefix(rows.filter(~(F.col("key").isNull() | is_sentinel(F.col("key"), self.empty_key))), self.state, self.capacity)
         counts = rows.agg(F.count(F.lit(1)).alias("n")).join(new.agg(F.count(F.lit(1)).alias("inserted")), F.lit(True)).select("inserted", (F.col("n") - F.col("inserted")).alias("failed"))
         size = F.coalesce(self.state.agg((F.max("seq") + 1).alias("n")).scalar(), F.lit(0))
         placed = exclusive_scan(new, F.lit(1), "__at").select("key", (F.col("__at") + size).alias("seq"))
-        return Outcome(replace(self, state=self.state.unionByName(placed)), counts)
+        return Outcome(replace(self, state=self.state.unionByName(placed), depth=self.depth + 1), counts)
+
+    def snapshot(self) -> Multiset:
+        """The same bag over its state as written: later plans begin there."""
+        return replace(self, state=snapshot(self.state), depth=0)
 
     def _counts(self, canonical: Callable[[Column], Column] | None = None) -> DataFrame:
         key = canonical(F.col("key")) if canonical else F.col("key")
@@ -101,7 +112,7 @@ class Multiset:
         return self.state.count()
 
     def clear(self) -> Multiset:
-        return replace(self, state=self.state.limit(0))
+        return replace(self, state=self.state.sparkSession.createDataFrame([], self.state.schema), depth=0)
 
 
 @dataclass(frozen=True)
@@ -112,6 +123,8 @@ class Multimap:
     empty_key: Any
     empty_value: Any
     capacity: int | None = None
+    #: Inserts since the state was last written.
+    depth: int = 0
 
     @classmethod
     def create(cls, spark: SparkSession, key_type: str, value_type: str, empty_key: Any, empty_value: Any, capacity: int | None = None) -> Multimap:
@@ -126,9 +139,11 @@ class Multimap:
         """Admit the prefix of the selected rows that fits; ``failed`` counts the rest.
 
         A reserved key or value among them is an error, and then nothing is inserted.  ``check=False``
-        leaves that to the plan: the error comes when the result is computed, without a job here.
+        leaves that to the plan: the error comes when the result is computed, without a job here.  A
+        long chain of inserts writes the state first.
         """
-        rows = batch.filter(selected(batch, predicate))
+        self = self.snapshot() if self.depth >= (CHAIN if self.capacity is None else 2) else self
+        rows = typed(batch.filter(selected(batch, predicate)), self.state, ("key", "value"))
         if check:
             if rows.filter(self._reserved()).limit(1).count():
                 raise ValueError("a selected row holds a reserved key or value")
@@ -136,7 +151,11 @@ class Multimap:
             rows = rows.withColumn("key", F.when(self._reserved(), F.raise_error(F.lit("a selected row holds a reserved key or value")).cast(dict(rows.dtypes)["key"])).otherwise(F.col("key")))
         new = admit_prefix(rows, self.state, self.capacity).select("key", "value")
         counts = rows.agg(F.count(F.lit(1)).alias("n")).join(new.agg(F.count(F.lit(1)).alias("inserted")), F.lit(True)).select("inserted", (F.col("n") - F.col("inserted")).alias("failed"))
-        return Outcome(replace(self, state=self.state.unionByName(new)), counts)
+        return Outcome(replace(self, state=self.state.unionByName(new), depth=self.depth + 1), counts)
+
+    def snapshot(self) -> Multimap:
+        """The same rows as written: later plans begin there."""
+        return replace(self, state=snapshot(self.state), depth=0)
 
     def contains(self, queries: DataFrame, predicate: Predicate | None = None) -> DataFrame:
         found = queries.join(self.state.select("key").distinct().withColumn("__hit", F.lit(True)), "key", "left")
@@ -176,4 +195,4 @@ class Multimap:
         return self.state.count()
 
     def clear(self) -> Multimap:
-        return replace(self, state=self.state.limit(0))
+        return replace(self, state=self.state.sparkSession.createDataFrame([], self.state.schema), depth=0)

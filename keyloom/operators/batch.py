@@ -30,6 +30,20 @@ def selected(batch: DataFrame, predicate: Predicate | None, stencil: str = "sten
     return F.lit(True) if predicate is None else F.coalesce(predicate(batch[stencil]), F.lit(False))
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def typed(batch: DataFrame, state: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``batch`` with these columns in the state's types: wider integers are the only cast made silently."""
+    have, want = dict(batch.dtypes), dict(state.dtypes)
+    for c in columns:
+        if c in have and have[c] != want[c]:
+            if have[c] not in _INTEGRAL or want[c] not in _INTEGRAL or _INTEGRAL.index(have[c]) > _INTEGRAL.index(want[c]):
+                raise TypeError(f"column {c} is {have[c]} and the container's is {want[c]}")
+            batch = batch.withColumn(c, F.col(c).cast(want[c]))
+    return batch
+
+
 def exclusive_scan(df: DataFrame, value: Column, name: str, order: str = "ord", within: tuple[str, ...] = ()) -> DataFrame:
     """Add the sum of ``value`` over all rows before this one by ``order`` (unique longs), of its group ``within`` those columns.
 

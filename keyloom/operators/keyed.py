@@ -19,12 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import capacity as slots
-from keyloom.operators.batch import Predicate, admit_prefix, is_sentinel, selected
+from keyloom.operators.batch import Predicate, admit_prefix, is_sentinel, selected, typed
 from keyloom.sources.snapshots import snapshot
 
 #: Operations that may stand on one another before the state is written: each refers to the state once.
 CHAIN = 16
-_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -96,14 +95,7 @@ class StaticSet:
         return ~(key.isNull() | is_sentinel(key, self.empty_key) | is_sentinel(key, self.erased_key))
 
     def _typed(self, batch: DataFrame) -> DataFrame:
-        """``batch`` with keys and values in the state's types: wider integers are the only cast made silently."""
-        have, want = dict(batch.dtypes), dict(self.state.dtypes)
-        for c in ("key", *self.values):
-            if c in have and have[c] != want[c]:
-                if have[c] not in _INTEGRAL or want[c] not in _INTEGRAL or _INTEGRAL.index(have[c]) > _INTEGRAL.index(want[c]):
-                    raise TypeError(f"column {c} is {have[c]} and the container's is {want[c]}")
-                batch = batch.withColumn(c, F.col(c).cast(want[c]))
-        return batch
+        return typed(batch, self.state, ("key", *self.values))
 
     def _taken(self, batch: DataFrame, predicate: Predicate | None) -> DataFrame:
         return self._own(self._typed(batch.filter(selected(batch, predicate)) if predicate else batch))

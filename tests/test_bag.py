@@ -113,3 +113,22 @@ def test_expansion_in_chunks_and_ranks_of_many_values(spark, monkeypatch):
         rows = sorted(tuple(r) for r in mm.retrieve(spark.createDataFrame([(0, 1), (1, 0)], "ord long, key long")).collect())
         want = [(k, v) for q in (1, 0) for k, v in sorted((k, v) for _, k, v in values if k == q)]
         assert rows == [(p, k, v) for p, (k, v) in enumerate(want)]
+
+
+def test_batches_of_other_types_are_refused(spark):
+    with pytest.raises(TypeError):
+        Multiset.create(spark, "int", -1).insert(spark.createDataFrame([], "ord long, key long"))
+    with pytest.raises(TypeError):
+        Multimap.create(spark, "long", "long", -1, -1).insert(spark.createDataFrame([], "ord long, key long, value string"))
+
+
+def test_chained_inserts_plan_boundedly(spark):
+    frames = [spark.createDataFrame([(i, (3 * b + i) % 7, 100 * b + i) for i in range(4)], "ord long, key long, value long") for b in range(9)]
+    bag, rows = Multiset.create(spark, "long", -1), Multimap.create(spark, "long", "long", -1, -1, 30)
+    for f in frames:
+        bag, rows = bag.insert(f).container, rows.insert(f).container
+        assert bag.depth <= 3 and rows.depth <= 3
+    want = [(3 * b + i) % 7 for b in range(9) for i in range(4)]
+    assert [r["key"] for r in bag.retrieve_all().orderBy("pos").collect()] == want
+    assert sorted(tuple(r) for r in rows.retrieve_all().collect()) == sorted([((3 * b + i) % 7, 100 * b + i) for b in range(9) for i in range(4)][:30])
+    assert bag.clear().size() == rows.clear().size() == 0
