@@ -16,10 +16,17 @@ M32 = 0xFFFFFFFF
 
 
 def xxhash64(col: Column, seed: int = 42) -> Column:
-    """64-bit xxHash of an int (4 bytes) or bigint (8 bytes) column, as a signed long."""
+    """64-bit xxHash of an int (4 bytes) or bigint (8 bytes) column, as a signed long.
+
+    The JVM's own expression in a classic session; a remote one has none to reach, and hashes Arrow
+    batches of the bigint ``col`` with NumPy.
+    """
     if seed == 42:
         return F.xxhash64(col)
     from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is None:
+        return xxhash64_arrow(col, seed)
     from pyspark.sql.classic.column import Column as Classic
 
     jvm = SparkContext._active_spark_context._jvm
@@ -28,6 +35,31 @@ def xxhash64(col: Column, seed: int = 42) -> Column:
     return Classic(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(children, int(seed))))
 
 
+def np_xxh64(words: np.ndarray, seed: int = 0) -> np.ndarray:
+    """xxHash64 of rows of one or two 32-bit little-endian words."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    turned = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.full(len(words), np.uint64(seed)) + p5 + np.uint64(4 * words.shape[1])
+    if words.shape[1] == 2:
+        k = np.ascontiguousarray(words).view(np.uint64).ravel()
+        h = turned(h ^ (turned(k * p2, 31) * p1), 27) * p1 + p4
+    else:
+        h = turned(h ^ (words[:, 0].astype(np.uint64) * p1), 23) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def xxhash64_arrow(col: Column, seed: int = 0, wide: bool = True) -> Column:
+    """``xxhash64`` of an int or (``wide``) bigint column without the JVM's expression."""
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(np_xxh64(_words(s, wide), seed).view(np.int64))
+
+    return run(col.cast("long") if wide else col.cast("int"))
+
+
 def mul32(a: Column | int, b: Column | int) -> Column:
     """a * b mod 2**32 of longs in [0, 2**32), without overflow under ANSI arithmetic."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))

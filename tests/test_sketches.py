@@ -31,6 +31,9 @@ def test_hash_vectors(spark):
         assert u(one(hashing.xxhash64(k64(v), 0))) == want
     assert u(one(hashing.xxhash64(k32(0)))) == 3614696996920510707
     assert u(one(hashing.xxhash64(k64(0)))) == 13194218611613725804
+    for v in (0, 42, 123456789, -5):
+        assert one(hashing.xxhash64_arrow(k64(v), 7)) == one(hashing.xxhash64(k64(v), 7))
+        assert one(hashing.xxhash64_arrow(k32(v), 7, wide=False)) == one(hashing.xxhash64(k32(v), 7))
     assert one(hashing.fmix32(k32(0x41424344), 0xFFFFEEEE)) == 0x570DF661
     assert u(one(hashing.fmix64(k64(0x41424344), 0xFFFFEEEE))) == 0x5EE45A8EB612F708
     assert one(hashing.murmur32(k32(0x41424344), 0xFFFFEEEE)) == 0xD6BDBBB4
