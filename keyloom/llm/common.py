@@ -164,15 +164,16 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
     return joined.withColumn(name, F.col("_off") + F.row_number().over(within)).drop("_pid", "_off")
 
 
-def _lookup(rows: DataFrame, low: DataFrame, bar: int) -> DataFrame:
-    """``rows(u, v)`` with the ``m`` of u from ``low(u, m, deg)``; nodes of over ``bar`` edges don't meet in one task.
+def spread_join(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, one row a key that counts in ``c`` its rows among the ``total``.
 
-    ``bar`` is a thousandth of all edges, so at most 2,000 nodes are above it: their ``m`` goes to all
-    executors, and their rows stay where they are.
+    Keys of over a thousandth of all rows, of which there are fewer than 1,000, go to all executors and
+    their rows stay where they are; only the others meet by shuffle.  ``c`` is dropped.
     """
-    hot = F.broadcast(low.filter(F.col("deg") > bar).select("u", "m"))
-    few = low.filter(F.col("deg") <= bar).select("u", "m")
-    return rows.join(hot, "u").select("u", "v", "m").union(rows.join(few, "u").select("u", "v", "m"))
+    bar = max(1, total // 1000)
+    hot, few = counted.filter(F.col("c") > bar).drop("c"), counted.filter(F.col("c") <= bar).drop("c")
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(few, on))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,13 +189,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        state, bar = now, max(1, now[0] // 1000)
+        state, n = now, now[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).withColumn("m", F.least("m", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("m", "u"))
         # a node's larger neighbours move to its smallest one
-        large = _lookup(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, bar).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        small = _lookup(large, low, bar).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, ["u"], 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = spread_join(large, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, grouped, materialize, materialize_bucketed, partitions, scratch
+from keyloom.llm.common import components, grouped, materialize, materialize_bucketed, partitions, scratch, spread_join
 
 NUM, DEN = 75, 100
 K = 5
@@ -279,8 +279,8 @@ def _dealt(keyed: DataFrame, weight: Column, most: int, whole: bool) -> DataFram
 
     All pairs of them if ``whole``, else each block with block 0 (the certificate finds what that leaves).
     """
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("size")).filter("c > 1").select("key", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
-    keyed = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("size")).filter("c > 1").select("key", "c", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
+    keyed = spread_join(keyed, sizes, ["key"], keyed.count()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     keyed = keyed.withColumn("k", F.explode(every if whole else F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0), F.col("block")))))
     return keyed.withColumn("task", F.xxhash64("key", F.least("block", "k"), F.greatest("block", "k"))).select("doc_id", "task", "block").distinct()
@@ -315,7 +315,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sketch")
     own = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    copies = own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    copies = own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
     tokens = own.select("doc_id", F.explode("prefix").alias("token"))
     shared = own.select("d1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a <> b").select("token")
     met = tokens.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.collect_list("token").alias("keys"))
@@ -351,7 +351,7 @@ def _classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(_clusters(rest, rare), "clusters")
     second = materialize(_round(rest.join(near, "doc_id"), whole=True), "second")
     links = first.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")).union(second)
-    reps = own.select("doc_id", "d1", "d2", "n").join(copies, ["d1", "d2", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    reps = spread_join(own.select("doc_id", "d1", "d2", "n"), copies.filter("c > 1"), ["d1", "d2", "n"], own.count()).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     return sketch, components(links.union(reps))
 
 
