@@ -45,16 +45,62 @@ def test_decoder_finds_the_nearest_point():
         assert (((x - p - q) ** 2).sum(axis=1) >= d - 1e-9).all()
 
 
-@pytest.mark.parametrize("dim", [16, 64])
-def test_same_links_as_all_pairs(spark, dim):
+@pytest.mark.parametrize(("dim", "codes"), [(16, None), (64, None), (64, 2), (64, 3)])
+def test_same_links_as_all_pairs(spark, dim, codes):
     rows = vectors(400, dim, dim, 0.09)
     want = brute(rows)
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_duplicates(spark.createDataFrame(rows, SCHEMA), codes=codes).collect())
     true, found = sum(x[1] for x in want), sum(x[1] for x in got)
     assert true > 200 and 0.98 * true <= found <= true
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def unit(rng, n, dim):
+    x = rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def planted(n, dim, seed, cosine=0.98):
+    """``n`` pairs at that very cosine."""
+    rng = np.random.default_rng(seed)
+    a, b = unit(rng, n, dim), rng.standard_normal((n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("codes", [1, 2, 3, 4, 5])
+def test_recall_at_the_very_threshold(codes, dim):
+    a, b = planted(2000, dim, codes)
+    tables, zero = lattice.tables_for(codes), np.zeros(2000, np.int64)
+    (own_a, probe_a), (own_b, probe_b) = (lattice.cells(x, zero, codes, tables) for x in (a, b))
+    met = (own_a == own_b) | (probe_a == own_b[..., None]).any(axis=2) | (probe_b == own_a[..., None]).any(axis=2)
+    recall = met.any(axis=1).mean()
+    print(f"{codes} codes, {tables} tables, {dim} dimensions: recall {recall:.4f}")
+    assert recall >= 0.98
+
+
+def test_pairs_compared_do_not_grow_with_the_input():
+    rng, per = np.random.default_rng(0), []
+    for n in (1_000, 10_000, 100_000):
+        codes = lattice.codes_for(n)
+        own, probe = lattice.cells(unit(rng, n, 64), np.zeros(n, np.int64), codes, 1)
+        homes, counts = np.unique(own, return_counts=True)
+        spots, met = np.unique(probe, return_counts=True)
+        crossed = np.isin(spots, homes)
+        per.append(((counts * (counts - 1) / 2).sum() + (met[crossed] * counts[np.searchsorted(homes, spots[crossed])]).sum()) / n)
+    assert max(per) < 4, per
+
+
+def test_planted_pairs_are_linked(spark):
+    a, b = planted(300, 64, 9, 0.9805)
+    rows = [(i, [float(v) for v in x], 1) for i, x in enumerate(np.concatenate([a, b]))]
+    got = {r["vec_id"]: r for r in lattice.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    linked = [i for i in range(300) if got[i + 300]["component_id"] == i and not got[i + 300]["kept"] and got[i]["n_links"] == got[i + 300]["n_links"] == 1]
+    assert len(linked) >= 0.95 * 300
+
+
 def test_large_cells_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK", 16)
     rng = np.random.default_rng(9)
