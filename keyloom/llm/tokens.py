@@ -147,17 +147,18 @@ class Encoder:
         segments = SEGMENT.findall(text)
         if len(self.spans) > CACHE_WORDS:
             self.spans.clear()
-        new = list({x for x in segments if x not in self.spans})
+        new = list(set(segments).difference(self.spans))
         rare: dict[str, tuple[int, bytes, bytes]] = {}
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 span = np.array(e.offsets, dtype="<i8").reshape(-1, 2)
                 (self.spans if len(x) <= CACHED_CHARS else rare)[x] = (len(span), span[:, 0].tobytes(), span[:, 1].tobytes())
-        found = [rare[x] if x in rare else self.spans[x] for x in segments]
+        found = [rare[x] if x in rare else self.spans[x] for x in segments] if rare else list(map(self.spans.__getitem__, segments))
+        counts, firsts, lasts = zip(*found, strict=True) if found else ((), (), ())
         size = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
-        base = np.repeat(np.cumsum(size) - size, np.fromiter((n for n, _, _ in found), dtype=np.int64, count=len(found)))
-        return np.frombuffer(b"".join([a for _, a, _ in found]), dtype="<i8") + base, np.frombuffer(b"".join([b for _, _, b in found]), dtype="<i8") + base
+        base = np.repeat(np.cumsum(size) - size, np.array(counts, dtype=np.int64))
+        return np.frombuffer(b"".join(firsts), dtype="<i8") + base, np.frombuffer(b"".join(lasts), dtype="<i8") + base
 
 
 def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
