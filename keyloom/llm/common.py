@@ -179,9 +179,12 @@ def spread_join(rows: DataFrame, counted: DataFrame, on: list[str], total: int)
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as (id, component): the smallest id that links reach.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each a pair of shuffles with
-    partial aggregation, until the edges no longer change.  Ids of no edge are not returned.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until the edges no longer
+    change.  What a step looks up is a written table, so its join is broadcast while that is small and
+    one of two plain shuffles beyond, which AQE splits where a hub's neighbours would meet in one task.
+    Ids of no edge are not returned.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     e = materialize(e, "edges")
     state = None
@@ -189,14 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        state, n = now, now[0]
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("m", "u"))
-        # a node's larger neighbours move to its smallest one
-        large = spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, ["u"], 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = spread_join(large, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        state = now
+        with scratch(spark):
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("m", "u").alias("m")), "low")
+            # a node's larger neighbours move to its smallest one
+            large = materialize(e.join(low, "v").select("u", F.col("m").alias("v")).filter("u > v").distinct(), "large")
+            low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+            e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", keep=True)
 
 
 def grouped(key: str, work: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Callable:
