@@ -203,6 +203,13 @@ def components(edges: DataFrame) -> DataFrame:
             e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", keep=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small slices, so that a worker holds what it makes of few documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def grouped(key: str, work: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Callable:
     """For mapInArrow over partitions sorted by ``key``: calls ``work`` with each group's table.
 

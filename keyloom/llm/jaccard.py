@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, grouped, materialize, materialize_bucketed, partitions, scratch, spread_join
+from keyloom.llm.common import components, grouped, materialize, materialize_bucketed, partitions, scratch, sliced, spread_join
 
 NUM, DEN = 75, 100
 K = 5
@@ -75,20 +75,13 @@ def slack(n: int) -> int:
 _SHORT = f"1 + floor(ceil({NUM} * n / {DEN}.0) / 10)"
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small slices, so that a worker holds the sets of few documents at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
+    for batch in sliced(batches):
         sizes, ones, twos, prefixes = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
@@ -101,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
+    for batch in sliced(batches):
         sets = [shingles(text.as_py()) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), batch.column("keys"), _lists(sets)], names=["doc_id", "n", "keys", "tokens"])
 
@@ -234,7 +227,7 @@ def _join(group: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
+    for batch in sliced(batches):
         sets = [np.array(x.values, np.int64).view(np.uint64) for x in batch.column("tokens")]
         bits = [bitmap(s, width_of(len(s))).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("label"), pa.array(bits, pa.binary())], names=["doc_id", "n", "label", "bits"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, scratch
+from keyloom.llm.common import materialize, scratch, sliced
 
 #: Kinds in the order in which spans of one start are listed; the method adds the last two.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
@@ -259,7 +259,7 @@ def extract(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_su
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         columns: list[list] = [[] for _ in range(7)]
         for text in batch.column("text"):
             text = text.as_py() or ""
@@ -324,7 +324,7 @@ def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
             return [(a, b, kind) for kind, a, b in base + more]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield rewrite(batch, (spans(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))))
 
         return docs.mapInArrow(scan, docs.schema)
@@ -335,7 +335,7 @@ def redacted(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
     joined = numbered.join(hits, F.col("__row") == F.col("__hit"), "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = batch.column(batch.schema.get_field_index("__found")).to_pylist()
             yield rewrite(batch, ([(x["start"], x["end"], KINDS[x["k"]]) for x in f or []] for f in found))
 
