@@ -20,7 +20,9 @@ from keyloom.llm.common import materialize, scratch
 
 SIZES = (3, 4)
 HASHES = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 16
+#: N-grams that a task of ``fit`` holds before it counts them: some 30 MB with the sort.
+HELD = 1 << 20
 #: Languages that a model may have: 16 MB of slots for each 64 of them go to all executors.
 LANGUAGES = 1024
 _GAP = re.compile(r"[\W\d_]+")
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, sample: int = 4000, bits: int = 21, least_rate: float =
                 for h in ngrams(normal(text.as_py())):
                     held.setdefault(index[lang.as_py()], []).append(h)
                     size += len(h)
-                if size > 8_000_000:
+                if size > HELD:
                     yield from out()
                     held, size = {}, 0
         yield from out()
