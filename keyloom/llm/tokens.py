@@ -26,6 +26,8 @@ from keyloom.llm.common import distributed_rank, fresh_path, materialize, partit
 
 CACHE_WORDS = 800_000
 CACHED_CHARS = 48
+#: Token files that one task reads again: what it returns of each is small.
+SHARDS_A_TASK = 4
 
 #: White space as Unicode's White_Space has it (Python's ``\s`` has U+001C to U+001F besides).
 SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
@@ -189,7 +191,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_
     no files.  ``folder`` needs a URI that pyarrow.fs opens on executors; the default is in
     spark.checkpoint.dir.  The files are the output and stay; only the caller deletes them.
 
-    Returns the manifest (shard, path, n_docs, n_tokens), one row a file.
+    Returns the manifest (shard, path, n_docs, n_tokens), one row a file, written as one Parquet file:
+    the JVM may start processes for each that it creates, so not one for each row.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
@@ -213,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_
             files.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": pa.array([files.path]), "n_docs": pa.array([files.docs], pa.int64()), "n_tokens": pa.array([files.tokens], pa.int64())})
 
-    return materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    return materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").repartition(1), "manifest")
 
 
 class _Shard:
@@ -299,7 +302,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone.
 
     ``start`` counts the tokens of all documents before it: the shards before (a prefix sum over the
-    manifest, one row a shard) and those before it in its shard.
+    manifest, one row a shard) and those before it in its shard.  Tasks read ``SHARDS_A_TASK`` files
+    that follow each other, one batch of sequences at a time.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
@@ -330,9 +334,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(ends - sizes), docs.column(1), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         start = int(ends[-1]) if len(ends) else start
 
-    spark = manifest.sparkSession
-    # one manifest row a task or few: the files are what is large
-    return placed.repartition(partitions(spark), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = -(-partitions(manifest.sparkSession) // SHARDS_A_TASK)
+    return placed.repartitionByRange(tasks, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------------------------------------

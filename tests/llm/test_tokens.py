@@ -87,6 +87,29 @@ def test_token_files_round_trip(spark, nasty, none, tmp_path):
     assert empty.count() == 0 and tokens.read_token_files(empty).count() == 0
 
 
+def test_the_manifest_is_one_file_and_tasks_read_a_few_shards(spark):
+    df = spark.createDataFrame([(i, prose(i, 3 + i % 7), "en", "s", 1) for i in range(480)], SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        manifest = tokens.write_token_files(df, tokenizer_path(BYTE), seq_len=32)
+        assert len(manifest.inputFiles()) == 1
+        shards = [r["n_docs"] for r in manifest.orderBy("shard").collect()]
+        got = tokens.read_token_files(manifest).selectExpr("*", "spark_partition_id() AS task").orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(shards) > 16 and len({r["task"] for r in got}) == 6
+    assert [r["doc_id"] for r in got] == list(range(480)) and [r["task"] for r in got] == sorted(r["task"] for r in got)
+    ends = np.cumsum(shards).tolist()
+    firsts = [next(i for i, r in enumerate(got) if r["task"] == k) for k in range(1, 6)]
+    assert set(firsts) <= set(ends) and max(np.diff([0, *[ends.index(x) + 1 for x in firsts], len(shards)])) <= 5
+    whole, at = plain(BYTE), 0
+    for r in got:
+        ids = np.array([*whole(prose(r["doc_id"], 3 + r["doc_id"] % 7)).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def brute_bins(lengths, capacity):
     left = []
     for n in sorted(lengths, reverse=True):
