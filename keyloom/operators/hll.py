@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import xxhash64
+from keyloom.operators.hll_tables import BIASES, RAW_ESTIMATES
 
 
 def precision_of_kb(kb: int) -> int:
@@ -39,18 +40,9 @@ def register(key: Column, p: int, seed: int = 0) -> tuple[Column, Column]:
 THRESHOLDS = {13: 6500, 14: 11500, 15: 20000, 16: 50000, 17: 120000, 18: 350000}
 
 
-def _bias(spark: SparkSession, p: int, e: Column) -> Column:
-    """Mean bias of the six known raw estimates nearest to ``e``.
-
-    The table is Spark's own, read from the JVM of a classic session; a remote one has none, and then
-    nothing is corrected.
-    """
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is None:
-        return F.lit(0.0)
-    module = getattr(getattr(jvm.org.apache.spark.sql.catalyst.util, "HyperLogLogPlusPlusHelper$"), "MODULE$")
-    raw, bias = (list(x[p - 4]) for x in (module.RAW_ESTIMATE_DATA(), module.BIAS_DATA()))
-    known = F.array(*[F.struct(F.abs(e - F.lit(r)).alias("off"), F.lit(b).alias("bias")) for r, b in zip(raw, bias, strict=True)])
+def _bias(_spark: SparkSession, p: int, e: Column) -> Column:
+    """Mean bias of the six known raw estimates nearest to ``e``, in any session; of two as near the lower goes first."""
+    known = F.zip_with(F.lit(list(RAW_ESTIMATES[p])), F.lit(list(BIASES[p])), lambda r, b: F.struct(F.abs(e - r).alias("off"), r.alias("raw"), b.alias("bias")))
     return F.aggregate(F.slice(F.array_sort(known), 1, 6), F.lit(0.0), lambda acc, x: acc + x["bias"]) / F.lit(6.0)
 
 

@@ -84,6 +84,17 @@ def test_bias_is_the_mean_of_the_six_nearest(spark):
     assert sorted(THRESHOLDS) == list(range(13, 19))
 
 
+@pytest.mark.parametrize("p", range(13, 19))
+def test_estimates_are_corrected_without_a_jvm(spark, p):
+    """A remote session has no JVM to ask for the known biases; they are the same there."""
+    module = getattr(getattr(spark._jvm.org.apache.spark.sql.catalyst.util, "HyperLogLogPlusPlusHelper$"), "MODULE$")
+    raw, bias = (list(x[p - 4]) for x in (module.RAW_ESTIMATE_DATA(), module.BIAS_DATA()))
+    asked = [2.6 * (1 << p), raw[len(raw) // 2], 4.9 * (1 << p)]
+    want = [sum(bias[i] for i in sorted(range(len(raw)), key=lambda i: abs(raw[i] - e))[:6]) / 6 for e in asked]
+    got = spark.range(1).select(*[_bias(object(), p, F.lit(e)) for e in asked]).first()
+    assert all(w and math.isclose(g, w) for g, w in zip(got, want, strict=True))
+
+
 def test_linear_counting_holds_up_to_the_threshold(spark):
     """The rule's branches at given (raw estimate, empty registers), against plain arithmetic."""
     m = float(1 << 13)
